@@ -6,19 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselle.llm import conversations, encodings, leakage, near_duplicates, vector_forest
+from pyspark.sql import functions as F
+
+from tesselle.llm import conversations, encodings, languages, leakage, mixing, near_duplicates, quality, scan_noise, subjects, vector_forest
 from tesselle.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _conversations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(s, d, "messages"), table(s, d, "conversations")
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    m, c = _conversations(s, d)
+    gap = conversations.calibrate_gap(m)
+    return conversations.rebuild(m, c, gap).select("conversation_id", "session_no", "turn_no", "message_id", "role", "created_at", "content")
+
+
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    return vector_forest.neighbours(table(s, d, "articles_vecteurs"), k=5, every=20)
+
+
+def _composition(s: SparkSession, d: str) -> DataFrame:
+    laws, cats = table(s, d, "laws"), table(s, d, "categories")
+    got = subjects.subjects(laws, cats, table(s, d, "common_words"), subjects.RESIDUAL)
+    total = laws.select("id").where("id is not null").distinct().count()
+    n = got.groupBy("category_id").agg(F.count("*").alias("laws"), F.sum("sentences").alias("sentences"))
+    return n.join(cats.select(F.col("id").alias("category_id"), "name"), "category_id").withColumn("share_of_laws", F.round(F.col("laws") / total, 6))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: scan_noise.found(table(s, d, "articles"), table(s, d, "laws")),
+        "p1_repaired": lambda s, d: scan_noise.mend(table(s, d, "articles"), table(s, d, "laws")),
+        "p2_found": lambda s, d: quality.found(table(s, d, "articles"), table(s, d, "common_words")),
+        "p2_statistics": lambda s, d: quality.judge(table(s, d, "articles"), table(s, d, "common_words")),
+        "p3_found": lambda s, d: subjects.found(table(s, d, "laws"), table(s, d, "categories"), table(s, d, "common_words")),
+        "p3_composition": _composition,
         "p4_found": lambda s, d: near_duplicates.found(table(s, d, "articles")),
-        "p5_found": lambda s, d: conversations.found(table(s, d, "messages"), table(s, d, "conversations")),
+        "p5_found": lambda s, d: conversations.found(*_conversations(s, d)),
+        "p5_sessions": _sessions,
         "p6_found": lambda s, d: vector_forest.found(table(s, d, "articles_vecteurs")),
+        "p6_neighbours": _neighbours,
+        "p7_found": lambda s, d: languages.found(table(s, d, "laws"), table(s, d, "common_words")),
+        "p7_segments": lambda s, d: languages.detect(table(s, d, "laws"), table(s, d, "common_words")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_runs": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: encodings.found(table(s, d, "documents")),
+        "p10_restored": lambda s, d: encodings.repair(table(s, d, "documents")),
     }
 
 
