@@ -31,7 +31,8 @@ from tesselle.session import cut
 
 DIM = 64
 TREES = 16
-REACH = 384
+REACH = 384  # enough for neighbours of a cosine of 0.9 and more
+WIDE_REACH = 4096  # for neighbours however far
 SLICE_ROWS = 16_000
 BITS = 63
 
@@ -62,12 +63,12 @@ def _strings(dim: int, trees: int):
 
 
 def _search(dim: int, k: int, reach: int, least: float):
-    """Rows sorted by (tree, key): the best k of each vector among the strings around it."""
+    """Rows sorted by (tree, key): the best k of each asked vector among the strings around it. An id's last bit says whether it is asked."""
 
-    def best(ids, x, lo, hi, a, z):
-        """Rows a..z against rows lo..hi."""
-        c = np.round(x[a:z] @ x[lo:hi].T, 9)
-        c[np.arange(z - a), np.arange(a, z) - lo] = -2
+    def best(ids, x, lo, hi, rows):
+        """The rows against rows lo..hi."""
+        c = np.round(x[rows] @ x[lo:hi].T, 9)
+        c[np.arange(len(rows)), rows - lo] = -2
         keep = np.zeros(c.shape, bool)
         if k < hi - lo:
             kth = np.partition(c, -k, axis=1)[:, -k]
@@ -76,16 +77,16 @@ def _search(dim: int, k: int, reach: int, least: float):
             keep = c >= max(least, -1.0)
         i, j = np.nonzero(keep)
         s = c[i, j]
-        over = np.bincount(i, minlength=z - a) > k
+        over = np.bincount(i, minlength=len(rows)) > k
         if over.any():  # ties at the k-th place: the smaller ids
             order = np.lexsort((ids[lo + j], -s, i))
             i, j, s = i[order], j[order], s[order]
-            first = np.searchsorted(i, np.arange(z - a))
+            first = np.searchsorted(i, np.arange(len(rows)))
             sel = np.arange(len(i)) - first[i] < k
             i, j, s = i[sel], j[sel], s[sel]
-        return ids[a + i], ids[lo + j], s
+        return ids[rows[i]] >> 1, ids[lo + j] >> 1, s
 
-    def flush(tree, ids, emb, done, last):
+    def flush(ids, emb, done, last):
         """Searches rows from done on (all of them at the end of a slice) and says up to where."""
         x = emb.astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -94,10 +95,13 @@ def _search(dim: int, k: int, reach: int, least: float):
         out = []
         for a in range(done, upto, 512):
             z = min(a + 512, upto)
-            out.append(best(ids, x, max(0, a - reach), min(n, z + reach), a, z))
+            rows = a + np.flatnonzero(ids[a:z] & 1)
+            if len(rows):
+                out.append(best(ids, x, max(0, a - reach), min(n, z + reach), rows))
         return out, upto
 
     def emit(parts):
+        parts = parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         a, b, s = (np.concatenate(c) for c in zip(*parts))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "cosine"])
 
@@ -113,18 +117,18 @@ def _search(dim: int, k: int, reach: int, least: float):
                     continue
                 if t[lo] != tree:
                     if len(ids) > done:
-                        parts, _ = flush(tree, ids, emb, done, True)
+                        parts, _ = flush(ids, emb, done, True)
                         yield emit(parts)
                     tree, ids, emb, done = t[lo], i[lo:hi], e[lo:hi], 0
                 else:
                     ids, emb = np.concatenate([ids, i[lo:hi]]), np.concatenate([emb, e[lo:hi]])
                 if len(ids) - done > 8192 + reach:
-                    parts, upto = flush(tree, ids, emb, done, False)
+                    parts, upto = flush(ids, emb, done, False)
                     yield emit(parts)
                     start = max(0, upto - reach)
                     ids, emb, done = ids[start:], emb[start:], upto - start
         if len(ids) > done:
-            parts, _ = flush(tree, ids, emb, done, True)
+            parts, _ = flush(ids, emb, done, True)
             yield emit(parts)
 
     return run
@@ -147,7 +151,12 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = DIM, trees: int = TREE
     head = cut(v.select("g", "id").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1))
     twins = head.where("r = 2").select("g")
     reps = v.join(head.where("r = 1").select("id"), "id", "left_semi")
-    rows = reps.select("id", "embedding").mapInArrow(_strings(dim, trees), "tree int, key bigint, id bigint, embedding array<float>")
+    if every > 1:  # a group is asked for if any member is: its id in the index says so
+        asked = v.where(F.col("id") % every == 0).select("g").distinct()
+        reps = reps.join(asked.withColumn("q", F.lit(True)), "g", "left")
+    else:
+        reps = reps.withColumn("q", F.lit(True))
+    rows = reps.select((F.col("id") * 2 + F.coalesce("q", F.lit(False)).cast("int")).alias("id"), "embedding").mapInArrow(_strings(dim, trees), "tree int, key bigint, id bigint, embedding array<float>")
     slices = max(1, -(-reps.count() * trees // SLICE_ROWS))
     near = (
         rows.withColumn("tie", F.xxhash64("id"))
