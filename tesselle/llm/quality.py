@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselle.llm.sampling import sample_texts
+
 FORMS = ["prose", "list", "table", "junk"]
 SAMPLE = 6000
 ROUNDS = 50
@@ -33,8 +35,10 @@ CELLS = re.compile(r"\||\t|<t[dhr]\b|\S {2,}\S.* {2,}\S|\S;\S[^;]*;\S[^;]*;\S")
 LEADER = re.compile(r"[.…_·]{4,}|(?: \.){4,}")
 MARK = re.compile(r"(?:^|\s)(?:[-–—•*·▪◦‣](?=\s+[^\W\d_]{2})|\(?(?:\d{1,3}°?|[a-z]|[ivx]{1,5})\)(?=\s*\S)|\d{1,3}°(?=\s*\S))")
 NUMBER = re.compile(r"(?:^|\s)\(?(\d{1,3})[.)°](?=[)°]?\s*\S)")
+NO_DIGIT = re.compile(r"\D+")
+STOP = re.compile(r"[.;!?:](?:\s|$)")
 TAG = re.compile(r"</?t[a-z]{0,5}\b[^>]*>")
-VOWEL = re.compile(r"[aeiouyàâäáãåæéèêëíîïìóôöòõøœúùûüAEIOUYÀÂÄÁÃÅÉÈÊËÍÎÏÓÔÖÚÙÛÜ]")
+VOWEL = re.compile(r"[aeiouyàâäáãåæéèêëíîïìóôöòõøœúùûü]")
 SENTENCE_END = (".", "!", "?", ":", ";", ",", "»", "…")
 STATS = ["n_chars", "n_lines", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "share_lines_punctuated", "share_common_words", "share_bullets", "share_cells", "share_leaders", "words_per_line", "share_short_words", "share_no_vowel", "share_repeated_words", "longest_token", "words_per_sentence", "share_prose_lines", "share_marks", "share_full_lines", "share_single_signs", "ends_in_stop", "share_matched_ends"]
 
@@ -50,17 +54,18 @@ def counting(text: str) -> int:
 def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values of STATS."""
     lines = [x for x in text.split("\n") if x.strip()]
-    words = WORDS.findall(TAG.sub(" ", text))
+    words = WORDS.findall(TAG.sub(" ", text) if "<" in text else text)
     n, nl, nc = len(words), max(1, len(lines)), max(1, len(text) - text.count(" ") - text.count("\n"))
     if not lines:
         return [float(len(text))] + [0.0] * (len(STATS) - 1)
     low = [w.lower() for w in words]
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in text)
+    digits = len(NO_DIGIT.sub("", text))
     counted = Counter(low)
     nw = max(1, n)
-    flow = WORDS.findall(re.sub(r"\s*\n\s*", " ", text)) and max(len(WORDS.findall(s)) for s in re.split(r"[.;!?:](?:\s|$)", re.sub(r"\s*\n\s*", " ", text)))
+    flow = max(len(x.split()) for x in STOP.split(text))
     tokens = text.split()
+    bullets, cells = [bool(BULLET.match(x)) for x in lines], [bool(CELLS.search(x)) for x in lines]
     width = max(map(len, lines))
     first = [x.split(None, 1)[0] for x in lines]
     full = sum(len(x.rstrip()) + 1 + len(y) > width for x, y in zip(lines, first[1:]))
@@ -74,16 +79,16 @@ def statistics(text: str, common: frozenset[str]) -> list[float]:
         digits / nc,
         sum(x.rstrip().endswith(SENTENCE_END) for x in lines) / nl,
         sum(counted[w] for w in counted if w in common) / nw,
-        sum(bool(BULLET.match(x)) for x in lines) / nl,
-        sum(bool(CELLS.search(x)) for x in lines) / nl,
+        sum(bullets) / nl,
+        sum(cells) / nl,
         sum(bool(LEADER.search(x)) for x in lines) / nl,
         n / nl,
         sum(len(w) <= 2 for w in words) / nw,
-        sum(len(w) > 2 and not VOWEL.search(w) for w in words) / nw,
+        sum(n for w, n in counted.items() if len(w) > 2 and not VOWEL.search(w)) / nw,
         1 - len(counted) / nw,
         float(max(map(len, text.split()), default=0)),
         float(flow or 0),
-        sum(sum(w.lower() in common for w in WORDS.findall(x)) >= 2 and not BULLET.match(x) and not CELLS.search(x) for x in lines) / nl,
+        sum(not b and not c and sum(w in common for w in x.lower().split()) >= 2 for x, b, c in zip(lines, bullets, cells)) / nl,
         max(len(MARK.findall(text)), counting(text)) / nw,
         full / max(1, len(lines) - 1) if len(lines) > 1 else 1.0,
         sum(len(t) == 1 for t in tokens) / max(1, len(tokens)),
@@ -221,8 +226,7 @@ def common_set(common_words: DataFrame, most: int = 100_000) -> frozenset[str]:
 
 
 def train(articles: DataFrame, common: frozenset[str], sample: int = SAMPLE) -> Trees:
-    t = articles.select("content").where("content is not null").orderBy(F.xxhash64("content"), "content").limit(sample)
-    return fit([r["content"] for r in t.collect()], common)
+    return fit(sample_texts(articles.select("content"), sample), common)
 
 
 def judge(articles: DataFrame, common_words: DataFrame, model: Trees | None = None) -> DataFrame:
