@@ -27,7 +27,7 @@ MAX_TITLES = 2000
 
 
 def key(line: str) -> str:
-    plain = unicodedata.normalize("NFD", line)
+    plain = line if line.isascii() else unicodedata.normalize("NFD", line)
     return "".join(c for c in plain if c.isalpha()).upper()
 
 
@@ -99,9 +99,12 @@ class Furniture:
 
     def __init__(self, titles: list[str]):
         self.titles, self.exact, self.cache = titles, set(titles), {}
+        self.longest = 1.5 * max(map(len, titles), default=0) + 24
 
     def kinds(self, line: str) -> tuple[str, ...]:
         """() for text; else header, page_number or both."""
+        if len(line) > self.longest:
+            return ()
         got = self.cache.get(line)
         if got is None:
             if len(self.cache) > 100_000:
@@ -112,7 +115,7 @@ class Furniture:
     def _kinds(self, line: str) -> tuple[str, ...]:
         if PAGE_LINE.fullmatch(line):
             return ("page_number",)
-        if not (12 <= len(line.strip()) <= 100):
+        if not (12 <= len(line) <= self.longest):
             return ()
         k, page = head_key(line.strip())
         if k in self.exact or any(_within(k, t, 2) for t in self.titles if abs(len(k) - len(t)) <= 2 and (k[:3] == t[:3] or k[-3:] == t[-3:])):
