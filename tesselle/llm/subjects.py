@@ -18,17 +18,21 @@ a sentence whose categories tie goes to the smaller id.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.llm.bounds import broadcast_if_small
 from tesselle.session import cut
 
 SHARE = 0.19
 MIN_LAWS = 4
 ROUNDS = 4
+MOST_PHRASES = 300_000  # broadcast up to here
 HEAD = re.compile(r"^\s*(?:article|art[ií]culo|artikel|art\.)\s+\S{1,8}?\s*[.:]\s*(?:[-–—]\s*)?", re.I | re.M)
 CUT = re.compile(r"[-‐‑\xad¬][ \t]*\n\s*(?=[^\W\d_])")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_«])")
@@ -46,22 +50,30 @@ def phrases(sentence: str, common: frozenset[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:])} | set(words)
 
 
-def _edges(common):
+def _read(common):
+    """law, fs, ns, said: the distinct phrases of a law, their numbers of sentences, and the phrases of each sentence; phrases as hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.value
         for b in batches:
-            law, no, ph = [], [], []
+            law, fs, ns, said = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, s in enumerate(sentences(text)):
-                    law.append(i)
-                    no.append(k)
-                    ph.append(sorted(phrases(s, words)))
+                parts = [[hashed(p) for p in phrases(s, words)] for s in sentences(text)]
+                counted = Counter(p for s in parts for p in s)
+                law.append(i)
+                fs.append(list(counted))
+                ns.append(list(counted.values()))
+                said.append(parts)
             if law:
-                yield pa.RecordBatch.from_arrays([pa.array(law, pa.int64()), pa.array(no, pa.int32()), pa.array(ph, pa.list_(pa.string()))], names=["law", "no", "phrases"])
+                yield pa.RecordBatch.from_arrays([pa.array(law, pa.int64()), pa.array(fs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.list_(pa.int64())))], names=["law", "fs", "ns", "said"])
 
     return run
 
 
+def hashed(phrase: str) -> int:
+    return xxhash.xxh64_intdigest(phrase) - (1 << 63)
+
+
 def seeds(laws: DataFrame, categories: DataFrame, residual: list[str]) -> DataFrame:
     """(law, c, seed, trusted): the labels a law comes with, weighted; trusted where label and first suggestion agree."""
     cats = categories.where(~F.col("name").isin(residual)).select(F.col("id").alias("c")).distinct()
@@ -78,16 +90,15 @@ def subjects(laws: DataFrame, categories: DataFrame, common_words: DataFrame, re
     spark = laws.sparkSession
     common = spark.sparkContext.broadcast(frozenset(r["word"].lower() for r in common_words.select("word").where("word is not null").distinct().limit(100_000).collect()))
     texts = laws.select(F.col("id").cast("bigint").alias("id"), "content").where("id is not null and content is not null").dropDuplicates(["id"])
-    sent = cut(texts.mapInArrow(_edges(common), "law bigint, no int, phrases array<string>"))
+    read = cut(texts.mapInArrow(_read(common), "law bigint, fs array<bigint>, ns array<int>, said array<array<bigint>>"))
     label = cut(seeds(laws, categories, residual))
-    edge = sent.select("law", F.explode("phrases").alias("f")).groupBy("law", "f").agg(F.count("*").alias("n"))
+    edge = read.select("law", F.explode(F.arrays_zip("fs", "ns")).alias("x")).select("law", F.col("x.fs").alias("f"), F.col("x.ns").alias("n"))
     # Verification: the leading category's share among a phrase's labelled laws, against its share among all.
     prior = label.groupBy("c").agg(F.sum("seed").alias("p")).withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy()))
     lean = edge.join(label, "law").groupBy("f", "c").agg(F.sum("seed").alias("m"))
     lean = lean.withColumn("t", F.sum("m").over(Window.partitionBy("f"))).join(F.broadcast(prior), "c")
     sure = lean.where(f"t >= {MIN_LAWS} and m / t >= 0.3 and m / t - p >= 3.5 * sqrt(p * (1 - p) / t)").select("f").distinct()
-    sure = cut(sure)
-    edge = cut(edge.join(sure, "f").select("law", "f", "n"))
+    edge = cut(edge.join(broadcast_if_small(cut(sure), MOST_PHRASES), "f").select("law", "f", "n"))
     pi = label.select("law", "c", F.col("seed").alias("v"))
     phi = edge.join(pi, "law").groupBy("f", "c").agg(F.sum(F.col("n") * F.col("v")).alias("u"))
     for _ in range(rounds):
@@ -100,10 +111,12 @@ def subjects(laws: DataFrame, categories: DataFrame, common_words: DataFrame, re
         held = kept.select("law").distinct().withColumn("held", F.lit(True))
         pi = new.join(kept, ["law", "c"], "full").join(held, "law", "left").selectExpr("law", "c", "if(held, 0.5 * coalesce(v, 0) + 0.5 * coalesce(s, 0), v) as v")
     phi = phi.withColumn("u", F.col("u") / F.sum("u").over(Window.partitionBy("f"))).where("u >= 0.5")
+    phi = broadcast_if_small(cut(phi.select("f", "c", "u")), MOST_PHRASES)
+    sent = read.select("law", F.posexplode("said").alias("no", "phrases"))
     speak = sent.select("law", "no", F.explode("phrases").alias("f")).join(phi, "f").groupBy("law", "no", "c").agg(F.sum("u").alias("u"))
     top = Window.partitionBy("law", "no").orderBy(F.desc("u"), "c")
     got = speak.withColumn("k", F.row_number().over(top)).where("k = 1").groupBy("law", "c").agg(F.count("*").alias("sentences"))
-    size = sent.groupBy("law").agg(F.count("*").alias("total"))
+    size = read.select("law", F.size("said").alias("total"))
     out = got.join(size, "law").withColumn("share", F.col("sentences") / F.col("total")).where(F.col("share") >= share)
     return out.select(F.col("law").alias("law_id"), F.col("c").alias("category_id"), "sentences", "share")
 
