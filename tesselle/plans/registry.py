@@ -1,9 +1,15 @@
 """All core queries with their oracle SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from tesselle.plans import analytics, relational
 
+MODULES = [analytics, relational]
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: x for m in MODULES for k, x in m.SQL.items()}
