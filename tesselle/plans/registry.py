@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, relational
+from tesselle.plans import analytics, relational, retrieval
 
-MODULES = [analytics, relational]
+MODULES = [analytics, relational, retrieval]
 
 
 def queries() -> dict:
