@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, relational, retrieval
+from tesselle.plans import analytics, documents, relational, retrieval
 
-MODULES = [analytics, relational, retrieval]
+MODULES = [analytics, relational, retrieval, documents]
 
 
 def queries() -> dict:
