@@ -60,5 +60,37 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _role_case() -> str:
+    when = " ".join(f"WHEN r IN ({', '.join(repr(w) for w in words.split())}) THEN '{name}'" for name, words in conversations.ROLES.items())
+    return f"CASE {when} END"
+
+
+_BLANK = r"[\s\p{Z}\p{C}]"
+
+P5 = f"""WITH m AS (SELECT DISTINCT id, conversation_id, created_at, lower(regexp_replace(role, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS r, regexp_replace(content, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS said FROM messages WHERE conversation_id IN (SELECT id FROM conversations)),
+t AS (SELECT *, {_role_case()} AS speaker FROM m),
+u AS (SELECT * FROM t WHERE speaker IS NULL OR speaker <> 'system'),
+good AS (SELECT conversation_id FROM u GROUP BY 1 HAVING bool_and(coalesce(speaker IS NOT NULL AND created_at IS NOT NULL AND said <> '', false))),
+k AS (SELECT *, lag(speaker) OVER w AS s0, lag(said) OVER w AS c0 FROM u WHERE conversation_id IN (SELECT conversation_id FROM good) WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id)),
+n AS (SELECT conversation_id, id, speaker, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS turn_no, count(*) OVER (PARTITION BY conversation_id) AS turns FROM k WHERE s0 IS NULL OR s0 <> speaker OR c0 <> said),
+ok AS (SELECT conversation_id FROM n GROUP BY 1 HAVING bool_and(speaker = CASE WHEN turn_no % 2 = 1 THEN 'user' ELSE 'assistant' END) AND max(turns) % 2 = 0)
+SELECT conversation_id, CAST(turn_no AS INTEGER) AS turn_no, id AS message_id FROM n WHERE conversation_id IN (SELECT conversation_id FROM ok)"""
+
+P6 = """WITH v AS (SELECT DISTINCT ON (article_id) article_id AS id, embedding::DOUBLE[] AS e FROM articles_vecteurs WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+c AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 9) AS s FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM c)
+SELECT DISTINCT least(a, b) AS article_id_a, greatest(a, b) AS article_id_b FROM r WHERE k <= 5 AND s >= 0.9"""
+
+
+def _runs(key: str, table_name: str) -> str:
+    w = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 12), lambda i: array_to_string(list_slice(w, i, i + 13), ' '))) AS run FROM (SELECT {key}, {w} AS w FROM {table_name}) WHERE len(w) >= 14)"
+
+
+P8 = f"SELECT DISTINCT doc_id, item_id FROM {_runs('doc_id', 'documents')} d JOIN {_runs('item_id', 'eval_items')} e ON d.run = e.run"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other operators are tested against brute force, exact round trips and held-out cases."""
+    return {"p5_found": P5, "p6_found": P6, "p8_found": P8}
