@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tesselle.session import table
 
 
-def once(df: DataFrame, key: str = "id") -> DataFrame:
-    """One row a key. The columns a plan needs are pruned first, so only those are shuffled."""
-    return df.dropDuplicates([key])
+def once(df: DataFrame) -> DataFrame:
+    """Exact repeats of a row out. Grouping by all selected columns, not keeping the first of an id, lets filters on any
+    column pass below it to the scan; only the columns a plan needs are shuffled."""
+    return df.distinct()
 
 
 def laws(s: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -30,7 +31,7 @@ def conversations(s: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
-    return once(table(s, d, "articles_vecteurs").select("article_id", "law_id", "embedding"), "article_id")
+    return once(table(s, d, "articles_vecteurs").select("article_id", "law_id", "embedding"))
 
 
 def json_lines(s: SparkSession, path: str, schema: str) -> DataFrame:
