@@ -26,10 +26,11 @@ def text_scores(docs: DataFrame, query: list[str], fields: dict[str, float], key
 
     Counts terms in place instead of building postings: one scan, no shuffle.
     """
-    hit = lambda c, w: F.size(F.filter(text.words(F.col(c)), lambda t: t == w))
-    per = [sum((F.coalesce(hit(c, w), F.lit(0)) * F.lit(weight) for c, weight in fields.items()), F.lit(0.0)) for w in query]
+    split = docs.select(*[c for c in docs.columns if c not in fields], *[text.words(F.col(c)).alias(f"_{c}") for c in fields])
+    hit = lambda c, w: F.coalesce(F.size(F.filter(F.col(f"_{c}"), lambda t: t == w)), F.lit(0))
+    per = [sum((hit(c, w) * F.lit(weight) for c, weight in fields.items()), F.lit(0.0)) for w in query]
     has = [(p > 0).cast("int") for p in per]
-    out = docs.select(key, *[c for c in docs.columns if c != key and c not in fields], sum(per, F.lit(0.0)).alias("score"), sum(has, F.lit(0)).alias("terms"))
+    out = split.select(*[c for c in split.columns if not c.startswith("_")], sum(per, F.lit(0.0)).alias("score"), sum(has, F.lit(0)).alias("terms"))
     return out.where(F.col("terms") >= (len(query) if every else 1))
 
 
@@ -51,10 +52,14 @@ def rrf(first: DataFrame, second: DataFrame, key: str, k: int = 60, first_weight
     return both.groupBy(key).agg(F.sum("s").alias("score"))
 
 
-def min_max(rows: DataFrame, column: str) -> DataFrame:
-    """The column spread over 0..1; all 1 when it has no span."""
-    span = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    out = rows.join(F.broadcast(span))
+def min_max(rows: DataFrame, column: str, bounded: bool = False) -> DataFrame:
+    """The column spread over 0..1; all 1 when it has no span. Rows of a bounded number (a fused ranking) are spread in one
+    pass over a window; others by a broadcast row of their extremes."""
+    if bounded:
+        whole = Window.partitionBy()
+        out = rows.withColumns({"lo": F.min(column).over(whole), "hi": F.max(column).over(whole)})
+    else:
+        out = rows.join(F.broadcast(rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))))
     return out.withColumn(column, F.when(F.col("hi") - F.col("lo") < 1e-9, 1.0).otherwise((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")))).drop("lo", "hi")
 
 
@@ -62,7 +67,7 @@ def hybrid(docs: DataFrame, items: DataFrame, query: list[str], vector: list[flo
     """(key, score): text and vector rankings of one id space, fused and normalised."""
     t = ranked(text_scores(docs, query, fields, key), [F.desc("score"), F.asc(key)], budget)
     v = ranked(nearest(items, vector, budget, key), [F.desc("similarity"), F.asc(key)], budget)
-    return min_max(rrf(t, v, key), "score").orderBy(F.desc("score"), key).limit(limit)
+    return min_max(rrf(t, v, key), "score", bounded=True).orderBy(F.desc("score"), key).limit(limit)
 
 
 def lsh_nearest(items: DataFrame, vector: list[float], k: int, key: str, bits: int = 6, tables: int = 8, seed: int = 7, column: str = "embedding") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, documents, relational, retrieval
+from tesselle.plans import analytics, documents, more, relational, retrieval
 
-MODULES = [analytics, relational, retrieval, documents]
+MODULES = [analytics, relational, retrieval, documents, more]
 
 
 def queries() -> dict:

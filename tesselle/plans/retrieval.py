@@ -240,7 +240,7 @@ def rrf_fusion_weighted(s: SparkSession, d: str) -> DataFrame:
 
 @q(f"SELECT doc_id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS score FROM {_RRF}")
 def min_max_normalize(s: SparkSession, d: str) -> DataFrame:
-    return S.min_max(S.rrf(*_two(s, d), "doc_id"), "score").select("doc_id", F.round("score", 6).alias("score"))
+    return S.min_max(S.rrf(*_two(s, d), "doc_id"), "score", bounded=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @q(f"SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM {_RRF}) ORDER BY score DESC, doc_id LIMIT 10")
