@@ -91,7 +91,7 @@ def usage_active_users_distinct(s: SparkSession, d: str) -> DataFrame:
 
 
 _ROLLUP = f"""SELECT c.persona, CAST(c.created_at AS DATE) AS day, count(DISTINCT c.id) AS conversations, count(m.id) AS messages, count(*) FILTER (lower(trim(m.role)) = 'user') AS questions,
-  round(avg(m.confidence), 6) AS avg_confidence, sum(m.retrieval_time_ms) // nullif(count(m.retrieval_time_ms), 0) AS avg_retrieval FROM {C} c LEFT JOIN {M} m ON m.conversation_id = c.id GROUP BY 1, 2"""
+  round(avg(m.confidence), 9) AS avg_confidence, sum(m.retrieval_time_ms) // nullif(count(m.retrieval_time_ms), 0) AS avg_retrieval FROM {C} c LEFT JOIN {M} m ON m.conversation_id = c.id GROUP BY 1, 2"""
 
 
 def daily_rollup(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def daily_rollup(conversations: DataFrame, messages: DataFrame) -> DataFrame:
         F.count_distinct("cid").alias("conversations"),
         F.count("id").alias("messages"),
         F.count_if(F.lower(F.trim("role")) == "user").alias("questions"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+        F.round(F.avg("confidence"), 9).alias("avg_confidence"),
         F.expr("sum(retrieval_time_ms) div nullif(count(retrieval_time_ms), 0)").alias("avg_retrieval"),
     )
 
