@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from tesselle.llm.sampling import sample_texts
 
 FORMS = ["prose", "list", "table", "junk"]
-SAMPLE = 6000
+SAMPLE = 10_000
 ROUNDS = 50
 DEPTH = 3
 RATE = 0.2
 
 WORDS = re.compile(r"[^\W\d_]+")
 BULLET = re.compile(r"\s*(?:[-–—•*·▪◦‣o]\s+\S|\(?(?:\d{1,3}|[a-z]{1,2}|[ivx]{1,5}|[A-Z])[.)°]\s*\S|\d{1,3}\s*[-–—]\s+\S|§\s)")
-CELLS = re.compile(r"\||\t|<t[dhr]\b|\S {2,}\S.* {2,}\S|\S;\S[^;]*;\S[^;]*;\S")
+CELLS = re.compile(r"\||\t|<t[dhr]\b|^.{0,40}\S {2,}\S.{0,60} {2,}\S.{0,40}$|\S;\S[^;]*;\S[^;]*;\S")
 LEADER = re.compile(r"[.…_·]{4,}|(?: \.){4,}")
 MARK = re.compile(r"(?:^|\s)(?:[-–—•*·▪◦‣](?=\s+[^\W\d_]{2})|\(?(?:\d{1,3}°?|[a-z]|[ivx]{1,5})\)(?=\s*\S)|\d{1,3}°(?=\s*\S))")
 NUMBER = re.compile(r"(?:^|\s)\(?(\d{1,3})[.)°](?=[)°]?\s*\S)")
@@ -103,7 +103,7 @@ def weak_label(s: dict[str, float]) -> str | None:
         return "junk"
     if s["share_cells"] < 0.5 and (s["digit_ratio"] > 0.7 or s["longest_token"] > 80):
         return "junk"
-    if s["n_chars"] >= 20 and s["share_cells"] < 0.5 and (s["mean_word_length"] < 2.9 or s["share_single_signs"] > 0.4):
+    if s["n_chars"] >= 20 and (s["share_single_signs"] > 0.7 or s["share_cells"] < 0.5 and (s["mean_word_length"] < 2.9 or s["share_single_signs"] > 0.4 and s["share_bullets"] < 0.5)):
         return "junk"
     if s["n_lines"] >= 3 and s["share_cells"] >= 0.75 and 0.05 < s["digit_ratio"] < 0.75:
         return "table"
