@@ -115,11 +115,11 @@ def persona_daily_rollup(s: SparkSession, d: str) -> DataFrame:
     return _roll(s, d)
 
 
-@q(f"SELECT persona, CAST(sum(conversations) AS BIGINT) AS conversations, CAST(sum(questions) AS BIGINT) AS questions, round(sum(avg_confidence * questions) / nullif(sum(questions) FILTER (avg_confidence IS NOT NULL), 0), 4) AS confidence, CAST(sum(messages) // count(*) AS BIGINT) AS messages_a_day FROM ({_ROLLUP}) GROUP BY persona")
+@q(f"SELECT persona, CAST(sum(conversations) AS BIGINT) AS conversations, CAST(sum(questions) AS BIGINT) AS questions, round(sum(avg_confidence * questions) / nullif(sum(questions) FILTER (avg_confidence IS NOT NULL), 0), 8) AS confidence, CAST(sum(messages) // count(*) AS BIGINT) AS messages_a_day FROM ({_ROLLUP}) GROUP BY persona")
 def persona_rollup_weighted(s: SparkSession, d: str) -> DataFrame:
     known = F.sum(F.when(F.col("avg_confidence").isNotNull(), F.col("questions")))
     return _roll(s, d).groupBy("persona").agg(
-        F.sum("conversations").alias("conversations"), F.sum("questions").alias("questions"), F.round(F.sum(F.col("avg_confidence") * F.col("questions")) / F.nullif(known, F.lit(0)), 4).alias("confidence"), F.expr("sum(messages) div count(*)").alias("messages_a_day")
+        F.sum("conversations").alias("conversations"), F.sum("questions").alias("questions"), F.round(F.sum(F.col("avg_confidence") * F.col("questions")) / F.nullif(known, F.lit(0)), 8).alias("confidence"), F.expr("sum(messages) div count(*)").alias("messages_a_day")
     )
 
 
@@ -148,11 +148,11 @@ def popular_questions(s: SparkSession, d: str) -> DataFrame:
 
 
 @q(f"""WITH x AS (SELECT c.persona, m.confidence, m.generation_time_ms AS g FROM {M} m JOIN {C} c ON c.id = m.conversation_id)
-SELECT persona, 'confidence' AS metric, round(avg(confidence), 4) AS value FROM x GROUP BY 1 UNION ALL SELECT persona, 'generation_ms', round(avg(g), 4) FROM x GROUP BY 1""")
+SELECT persona, 'confidence' AS metric, round(avg(confidence), 9) AS value FROM x GROUP BY 1 UNION ALL SELECT persona, 'generation_ms', round(avg(g), 9) FROM x GROUP BY 1""")
 def compare_profiles(s: SparkSession, d: str) -> DataFrame:
     m = T.messages(s, d, "conversation_id", "confidence", "generation_time_ms").drop("id")
     x = m.join(T.conversations(s, d, "persona").withColumnRenamed("id", "conversation_id"), "conversation_id").groupBy("persona")
-    x = x.agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.avg("generation_time_ms"), 4).alias("generation_ms"))
+    x = x.agg(F.round(F.avg("confidence"), 9).alias("confidence"), F.round(F.avg("generation_time_ms"), 9).alias("generation_ms"))
     return x.unpivot("persona", ["confidence", "generation_ms"], "metric", "value")
 
 

@@ -258,9 +258,9 @@ def threshold_sweep(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("threshold", "label").agg(F.count_if(F.col("norm") < F.col("threshold")).alias("refused"), F.count("*").alias("n"))
 
 
-@q("SELECT event_type, median(value) AS median, round(stddev_samp(value), 4) AS spread, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+@q("SELECT event_type, median(value) AS median, round(stddev_samp(value), 7) AS spread, min(value) AS low, max(value) AS high, round(avg(value), 7) AS mean FROM events GROUP BY 1")
 def latency_summary(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.round(F.stddev_samp("value"), 4).alias("spread"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 4).alias("mean"))
+    return table(s, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.round(F.stddev_samp("value"), 7).alias("spread"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 7).alias("mean"))
 
 
 @q("SELECT user_id, event_id, CAST((SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts - INTERVAL 1 HOUR AND (b.ts < a.ts OR b.ts = a.ts)) AS BIGINT) AS last_hour FROM events a")
