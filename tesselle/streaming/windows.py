@@ -18,12 +18,12 @@ LATE = "2 hours"
 
 def read_events(s: SparkSession, path: str) -> DataFrame:
     """The events as a stream of Parquet files, times as timestamps."""
-    import os
-
     schema = s.read.parquet(path).schema
-    folder, name = os.path.split(path.rstrip("/"))
-    if os.path.isdir(path):
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         folder, name = path, "*.parquet"
+    else:
+        folder, name = path.rstrip("/").rsplit("/", 1)
     return s.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
