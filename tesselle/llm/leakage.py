@@ -2,8 +2,8 @@
 
 Both sides keep the minimal hash of every window of ``window`` consecutive k-grams of words, so that any shared
 run of k + window - 1 words is certain to share a fingerprint. Fingerprints are joined, and the
-hits are extended to the full common run on the words themselves. The test side is broadcast only when its
-counted fingerprints stay under ``BROADCAST_ROWS``; beyond that the same join shuffles.
+hits are extended to the full common run on the words themselves. The test side, and the pairs that hit, are broadcast only
+when their counted rows stay under ``BROADCAST_ROWS``; beyond that the same joins shuffle.
 
 Defined results for awkward input: null and empty texts and texts shorter than the run share nothing; repeated rows
 count once; empty tables give an empty result; extra columns are ignored. A fingerprint that is common in the corpus
@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselle.llm.bounds import broadcast_if_small
 from tesselle.llm.words import flat, grams, plain_words
+from tesselle.session import cut
 
 RUN = 14
 K = 7
@@ -97,9 +99,9 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = K) ->
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     held = items.select("item_id", F.col("text").alias("passage")).where("item_id is not null and passage is not null").distinct()
     test = fingerprints(held, "item_id", "passage", run, k).distinct()
-    if test.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        test = F.broadcast(test)
-    pairs = fingerprints(docs, "doc_id", "text", run, k).join(test, "fp").select("doc_id", "item_id").distinct()
+    test = broadcast_if_small(cut(test), BROADCAST_ROWS)
+    pairs = cut(fingerprints(docs, "doc_id", "text", run, k).join(test, "fp").select("doc_id", "item_id").distinct())
+    pairs = broadcast_if_small(pairs, BROADCAST_ROWS)  # else all texts would be shuffled for the few that hit
     return docs.join(pairs, "doc_id").join(held, "item_id").select("doc_id", "text", "item_id", "passage").mapInArrow(_extend(run), "doc_id bigint, item_id bigint, run_words bigint, run_start bigint").distinct()
 
 

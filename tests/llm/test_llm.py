@@ -376,3 +376,18 @@ def test_oracle(name, spark, sf, con):
     import oracle
 
     assert oracle.compare(queries.queries()[name](spark, sf), con, queries.oracle_sql()[name]) is None
+
+
+def test_joins_without_broadcast_give_the_same(spark, sf, monkeypatch):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    want = {tuple(r) for r in leakage.found(docs, items).collect()}
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in leakage.found(docs, items).collect()} == want and want
+    a = table(spark, sf, "articles")
+    want = {tuple(r) for r in near_duplicates.found(a).collect()}
+    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", 0)
+    assert {tuple(r) for r in near_duplicates.found(a).collect()} == want and want
+    laws, cats, words = table(spark, sf, "laws"), table(spark, sf, "categories"), table(spark, sf, "common_words")
+    want = {tuple(r) for r in subjects.found(laws, cats, words).collect()}
+    monkeypatch.setattr(subjects, "MOST_PHRASES", 0)
+    assert {tuple(r) for r in subjects.found(laws, cats, words).collect()} == want and want
