@@ -9,6 +9,9 @@ matches of the longest prefixes, then of shorter ones - with cosines in double p
 merged: a vector's list is cut at k by (cosine, id), the same rule in every tree, which is the synchronous
 ascent taken as far as ``reach``.
 
+A dense group larger than that would lie outside every window for the most part. A row that meets ``reach / 2`` rows of cosine
+``DENSE`` and more in the window of any tree is taken to stand in one and is compared with all vectors, by block products.
+
 Vectors equal component by component are searched once: only the k + 1 smallest ids of each such group can be
 neighbours of anything, and its other members take their neighbours from it.
 
@@ -35,6 +38,8 @@ REACH = 384  # enough for neighbours of a cosine of 0.9 and more
 WIDE_REACH = 4096  # for neighbours however far
 SLICE_ROWS = 16_000
 BITS = 63
+DENSE = 0.6
+BLOCK_ROWS = 32_768
 
 
 def _planes(dim: int, trees: int) -> np.ndarray:
@@ -63,12 +68,14 @@ def _strings(dim: int, trees: int):
 
 
 def _search(dim: int, k: int, reach: int, least: float):
-    """Rows sorted by (tree, key): the best k of each asked vector among the strings around it. An id's last bit says whether it is asked."""
+    """Rows sorted by (tree, key): the best k of each asked vector among the strings around it, and a row without neighbour
+    for a vector in a dense group. An id's last bit says whether it is asked."""
 
     def best(ids, x, lo, hi, rows):
-        """The rows against rows lo..hi."""
+        """The rows against rows lo..hi, and which of them stand in a dense group."""
         c = np.round(x[rows] @ x[lo:hi].T, 9)
         c[np.arange(len(rows)), rows - lo] = -2
+        dense = ids[rows[np.count_nonzero(c >= DENSE, axis=1) >= max(1, reach // 2)]] >> 1
         keep = np.zeros(c.shape, bool)
         if k < hi - lo:
             kth = np.partition(c, -k, axis=1)[:, -k]
@@ -84,7 +91,7 @@ def _search(dim: int, k: int, reach: int, least: float):
             first = np.searchsorted(i, np.arange(len(rows)))
             sel = np.arange(len(i)) - first[i] < k
             i, j, s = i[sel], j[sel], s[sel]
-        return ids[rows[i]] >> 1, ids[lo + j] >> 1, s
+        return ids[rows[i]] >> 1, ids[lo + j] >> 1, s, dense
 
     def flush(ids, emb, done, last):
         """Searches rows from done on (all of them at the end of a slice) and says up to where."""
@@ -101,9 +108,11 @@ def _search(dim: int, k: int, reach: int, least: float):
         return out, upto
 
     def emit(parts):
-        parts = parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        a, b, s = (np.concatenate(c) for c in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "cosine"])
+        none = np.zeros(0, np.int64)
+        a, b, s, dense = (np.concatenate(c) for c in zip(*(parts or [(none, none, np.zeros(0), none)])))
+        blank = pa.nulls(len(dense), pa.int64()), pa.nulls(len(dense), pa.float64())
+        columns = pa.array(np.concatenate([a, dense])), pa.concat_arrays([pa.array(b), blank[0]]), pa.concat_arrays([pa.array(s), blank[1]])
+        return pa.RecordBatch.from_arrays(list(columns), names=["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, ids, emb, done = -1, np.zeros(0, np.int64), np.zeros((0, dim), np.float32), 0
@@ -134,6 +143,72 @@ def _search(dim: int, k: int, reach: int, least: float):
     return run
 
 
+def _compare(dim: int, k: int, least: float):
+    """Rows sorted by (cell, role): the best k of each vector of role 0 among all those of role 1 in its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, x, best = -1, np.zeros(0, np.int64), np.zeros((0, dim)), None
+
+        def emit():
+            a, b, s = best
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(b), pa.array(s)], names=["a", "b", "cosine"])
+
+        for batch in batches:
+            c, role, i = (batch.column(n).to_numpy() for n in range(3))
+            e = np.asarray(batch.column(3).flatten()).reshape(-1, dim).astype(np.float64)
+            e /= np.linalg.norm(e, axis=1, keepdims=True)
+            mark = c.astype(np.int64) * 2 + role
+            cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1), len(mark)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if c[lo] != cell:
+                    if best is not None and len(best[0]):
+                        yield emit()
+                    cell, ids, x = c[lo], np.zeros(0, np.int64), np.zeros((0, dim))
+                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                if role[lo] == 0:
+                    ids, x = np.concatenate([ids, i[lo:hi]]), np.concatenate([x, e[lo:hi]])
+                elif len(ids):
+                    best = better(ids, x, i[lo:hi], e[lo:hi], best)
+        if best is not None and len(best[0]):
+            yield emit()
+
+    def better(ids, x, others, e, best):
+        """The lists (row, other, cosine), sorted by row, with the others brought in."""
+        floor = np.full(len(ids), max(least, -1.0))
+        full = np.bincount(best[0], minlength=len(ids)) >= k
+        floor[full] = np.maximum(floor[full], best[2][np.cumsum(np.bincount(best[0], minlength=len(ids)))[full] - 1])
+        parts = [best]
+        for a in range(0, len(ids), 512):
+            z = min(a + 512, len(ids))
+            c = x[a:z] @ e.T
+            bar = floor[a:z]
+            if k + 1 < len(others) and not full[a:z].all():  # one more: a vector may meet itself
+                bar = np.maximum(bar, np.partition(c, -k - 1, axis=1)[:, -k - 1])
+            r, j = np.nonzero(c >= bar[:, None] - 2e-9)
+            s = np.round(c[r, j], 9)
+            good = (s >= max(least, -1.0)) & (ids[a + r] != others[j])
+            parts.append((a + r[good], others[j[good]], s[good]))
+        r, b, s = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((b, -s, r))
+        r, b, s = r[order], b[order], s[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[keep], b[keep], s[keep]
+
+    return run
+
+
+def _exact(dense: DataFrame, reps: DataFrame, dim: int, k: int, least: float) -> DataFrame:
+    """(a, b, cosine): the k best of every vector of ``dense`` (a) among all of ``reps``, a grid of blocks of bounded size."""
+    hot = reps.join(dense.withColumnRenamed("a", "id"), "id", "left_semi").select("id", "embedding")
+    high, wide = -(-dense.count() // BLOCK_ROWS), max(8, -(-reps.count() // BLOCK_ROWS))
+    block, part = F.pmod(F.xxhash64("id"), F.lit(high)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(wide))
+    one = hot.select(F.explode(F.sequence(block * wide, block * wide + wide - 1)).alias("cell"), F.lit(0).alias("role"), "id", "embedding")
+    two = reps.select(F.explode(F.sequence(part, part + (high - 1) * wide, F.lit(wide).cast("bigint"))).alias("cell"), F.lit(1).alias("role"), "id", "embedding")
+    return one.union(two).repartition(high * wide, "cell").sortWithinPartitions("cell", "role").mapInArrow(_compare(dim, k, least), "a bigint, b bigint, cosine double")
+
+
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, embedding) of the vectors that take part, one row per id."""
     ok = f"article_id is not null and size(embedding) = {dim} and not exists(embedding, v -> v is null or isnan(v) or abs(v) = float('inf')) and exists(embedding, v -> v <> 0)"
@@ -165,7 +240,10 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = DIM, trees: int = TREE
         .drop("tie")
         .mapInArrow(_search(dim, k, reach, least), "a bigint, b bigint, cosine double")
     )
-    near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = cut(near.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+    dense, near = near.where("b is null").select("a"), near.where("b is not null")
+    if not dense.isEmpty():
+        near = cut(near.join(dense, "a", "left_anti").union(_exact(dense, reps, dim, k, least)))
     # A representative stands for its whole group: bring in the group's other small ids on either side.
     twin = head.join(twins, "g", "left_semi")
     lead = twin.where("r = 1").select(F.col("id").alias("lead"), "g")

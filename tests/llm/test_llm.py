@@ -159,6 +159,23 @@ def test_vector_forest_recall_without_threshold(spark):
     assert len(got) == 150 and np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.175, 0.1, 0.032])  # pairwise cosine of about 0.97, 0.99, 0.999
+def test_vector_forest_one_dense_cluster_of_a_third(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((9000, 64))
+    x[:3000] = x[0] / np.linalg.norm(x[0]) * 8 + spread * x[:3000]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id int, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in vector_forest.neighbours(df, k=5, every=10, reach=48, least=0.9).orderBy("id", "rank").collect():
+        got[r["id"]].append(r["neighbour"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for i in range(0, 3000, 10):
+        c = np.round(u @ u[i], 9)
+        c[i] = -2
+        assert got[i] == np.lexsort((np.arange(9000), -c))[:5].tolist()
+
+
 # ---- p8
 
 
