@@ -4,7 +4,8 @@
 2. All words of the running text are counted over the whole corpus.
 3. Every word type gets an anagram hash, the sum of its characters' hashes. A confusion (m read as rn) shifts it by a
    fixed difference, so rare types are joined with frequent ones on hash minus difference, in SQL, for one and for two
-   confusions; the spelling is then verified and the variants ranked by frequency.
+   confusions; the spelling is then verified and the variants ranked by frequency. A variant of letters alone that is
+   commoner than one in RATIO is a misreading only if it keeps to the records that show other signs of scanning.
 4. A word cut at a line end is joined again, unless the corpus writes it with its own hyphen more often than without.
 5. One pass over the texts strips the furniture, joins cut words and lines, and applies the corrections.
 
@@ -31,6 +32,7 @@ from tesselle.session import cut
 BROADCAST_ROWS = 200_000
 MIN_FREQUENT = 8
 RATIO = 1000
+LEAST_EVIDENCE = 7.0  # log of the odds
 
 # Fixed values: (as printed, as read).
 CONFUSIONS = [
@@ -41,6 +43,7 @@ CONFUSIONS = [
 
 SIGNS = r"[0-9!@†(€$|/ﬁﬂ’'\\]"
 HYPHENS = "-‐‑\xad¬"
+INNER = re.compile(r"[^\W\d_][0-9!@†€$|][^\W\d_]")
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 START = re.compile(r"[^\W\d_]+")
 STRIP = ".,;:?«»\"“”[]–—…*"
@@ -124,38 +127,47 @@ def tokens(text: str) -> list[str]:
 
 
 def _count(titles):
-    def rows(raw: Counter[str]) -> pa.RecordBatch:
-        counts: Counter[str] = Counter()
+    def rows(raw: Counter[str], plain: Counter[str], marked: Counter[str]) -> pa.RecordBatch:
+        counts: dict[str, list[int]] = {}
         for t, n in raw.items():
             if len(w := word(t)) > 1 and LETTER.search(w):
-                counts[w] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+                c = counts.setdefault(w, [0, 0, 0])
+                c[0] += n
+                c[1] += plain[t] + marked[t]
+                c[2] += marked[t]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(3))], names=["w", "n", "r", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         furniture = Furniture(titles.value)
-        raw: Counter[str] = Counter()
+        raw, plain, marked = Counter(), Counter(), Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                if "\n" not in text:
-                    raw.update(text.split())
-                    continue
-                page = Page(text, furniture)
-                lines = [x for x, _ in page.lines]
-                for i, first, second in page.cuts():  # cut words are no evidence
-                    lines[i] = CUT.sub("", lines[i])
-                    lines[i + 1] = lines[i + 1][len(second) :]
-                raw.update(" ".join(lines).split())
+                scanned = False
+                if "\n" in text:
+                    page = Page(text, furniture)
+                    lines = [x for x, _ in page.lines]
+                    scanned = bool(page.kinds)
+                    for i, first, second in page.cuts():  # cut words are no evidence
+                        lines[i] = CUT.sub("", lines[i])
+                        lines[i + 1] = lines[i + 1][len(second) :]
+                        scanned = True
+                    text = " ".join(lines)
+                found = text.split()
+                raw.update(found)
+                (marked if scanned or INNER.search(text) else plain).update(set(found))
             if len(raw) > 500_000:
-                yield rows(raw)
-                raw = Counter()
-        yield rows(raw)
+                yield rows(raw, plain, marked)
+                raw, plain, marked = Counter(), Counter(), Counter()
+        yield rows(raw, plain, marked)
 
     return run
 
 
 def count_words(texts: DataFrame, titles) -> DataFrame:
-    """(w, n) over all text but the furniture and cut words of all records."""
-    return texts.select("content").mapInArrow(_count(titles), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    """(w, n, r, m) over all text but the furniture and cut words of all records: occurrences, records (once a spelling with
+    its punctuation) and those among them that show signs of scanning."""
+    sums = [F.sum(c).alias(c) for c in "nrm"]
+    return texts.select("content").mapInArrow(_count(titles), "w string, n bigint, r bigint, m bigint").groupBy("w").agg(*sums)
 
 
 def _sum_hash(w: str) -> str:
@@ -168,9 +180,9 @@ def corrections(types: DataFrame) -> DataFrame:
     table = spark.createDataFrame(CONFUSIONS, "good string, bad string")
     diffs = table.selectExpr("good", "bad", f"{_sum_hash('bad')} - {_sum_hash('good')} as d")
     steps = F.array(*[F.struct(F.lit(r["good"]).alias("good"), F.lit(r["bad"]).alias("bad"), F.lit(r["d"]).alias("d")) for r in diffs.collect()])
-    freq = types.where((F.col("n") >= MIN_FREQUENT) & ~F.col("w").rlike(SIGNS)).selectExpr("w as g", "n as ng", f"{_sum_hash('w')} as h")
+    freq = types.where((F.col("n") >= MIN_FREQUENT) & ~F.col("w").rlike(SIGNS)).selectExpr("w as g", "n as ng", "r as rg", "m as mg", f"{_sum_hash('w')} as h")
     top = types.agg(F.max("n")).first()[0] or 0
-    rare = types.where(F.col("n") * 4 <= top).where("length(w) between 2 and 60").selectExpr("w as wrong", "n", f"{_sum_hash('w')} as h0")
+    rare = types.where(F.col("n") * 4 <= top).where("length(w) between 2 and 60").selectExpr("w as wrong", "n", "r", "m", f"{_sum_hash('w')} as h0")
     rare = rare.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "wrong")  # small rows that multiply
     rare = rare.withColumn("p", F.filter(steps, lambda x: F.instr(F.col("wrong"), x["bad"]) > 0))
 
@@ -180,13 +192,18 @@ def corrections(types: DataFrame) -> DataFrame:
         ways = f"transform(filter(sequence(1, length({w})), i -> substring({w}, i, length({x}.bad)) = {x}.bad), i -> {made})"
         return f"exists({ways}, {v} -> {then})"
 
-    one = rare.select("wrong", "n", "h0", F.explode("p").alias("x")).withColumn("h", F.expr("h0 - x.d")).join(freq, "h")
-    one = one.where(undone("wrong", "x", "v", "v = g")).select("wrong", "n", "g", "ng", F.lit(1).alias("done"))
-    two = rare.where("length(wrong) > 4").select("wrong", "n", "h0", "p", F.posexplode("p").alias("k", "x"))
-    two = two.select("wrong", "n", "h0", "x", F.explode(F.expr("slice(p, k + 1, size(p) - k)")).alias("y")).withColumn("h", F.expr("h0 - x.d - y.d")).join(freq, "h")
-    two = two.where(undone("wrong", "x", "v", undone("v", "y", "u", "u = g"))).select("wrong", "n", "g", "ng", F.lit(2).alias("done"))
-    usual = f"n <= 2 + ng / {RATIO} + 2 * sqrt(ng / {RATIO})"  # what misreading yields at the most; a word of letters beyond that is a word
-    links = one.union(two).where("wrong <> g and n * 4 <= ng").where(F.expr(usual) | F.col("wrong").rlike(SIGNS))
+    one = rare.select("wrong", "n", "r", "m", "h0", F.explode("p").alias("x")).withColumn("h", F.expr("h0 - x.d")).join(freq, "h")
+    one = one.where(undone("wrong", "x", "v", "v = g")).select("wrong", "n", "r", "m", "g", "ng", "rg", "mg", F.lit(1).alias("done"))
+    two = rare.where("length(wrong) > 4").select("wrong", "n", "r", "m", "h0", "p", F.posexplode("p").alias("k", "x"))
+    two = two.select("wrong", "n", "r", "m", "h0", "x", F.explode(F.expr("slice(p, k + 1, size(p) - k)")).alias("y")).withColumn("h", F.expr("h0 - x.d - y.d")).join(freq, "h")
+    two = two.where(undone("wrong", "x", "v", undone("v", "y", "u", "u = g"))).select("wrong", "n", "r", "m", "g", "ng", "rg", "mg", F.lit(2).alias("done"))
+    usual = F.expr(f"n <= 2 + ng / {RATIO} + 2 * sqrt(ng / {RATIO})") | F.col("wrong").rlike(SIGNS)
+    links = cut(one.union(two).where("wrong <> g and n * 4 <= ng").withColumn("usual", usual))
+    # Beyond that it is judged by its records: are as many of them scanned as of misread words', or as of the right word's?
+    m, r = links.where("usual").groupBy("wrong").agg(F.max("m").alias("m"), F.max("r").alias("r")).agg(F.sum("m"), F.sum("r")).first()
+    share, base = (9 + (m or 0)) / (10 + (r or 0)), "greatest(0.001, least(0.999, mg / rg))"
+    odds = f"m * ln({share} / {base}) + (r - m) * ln({1 - share} / (1 - {base}))"
+    links = links.where(f"usual or ({share} > {base} and {odds} >= {LEAST_EVIDENCE})")
     best = links.groupBy("wrong").agg(F.min_by("g", F.struct("done", F.negative("ng"), "g")).alias("w"))
     return best
 

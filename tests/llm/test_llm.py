@@ -291,6 +291,22 @@ def test_scan_noise(spark, bound, monkeypatch):
     assert text["article", 204].startswith("- le registre\n") and ("article", 205) not in text and text["article", 206] == ""
 
 
+def test_misreadings_commoner_than_one_in_a_thousand(spark):
+    """A third of the records is scanned; dale is a word of its own, exarnine is not."""
+    rng = random.Random(5)
+    fill = "préfet conseil communal registre province autorise refuse la de du des pour dans avec".split()
+    rows = []
+    for i in range(900):
+        words = [rng.choice(fill) for _ in range(12)]
+        more = ["examine", "examine", "date", "date", "dale" if i % 20 == 0 else "avec"]
+        if i % 3 == 0:
+            more[0] = "exarnine" if i % 18 == 0 else "examine"
+            words[5] = "con-\nseil"
+        rows.append((i, "Le " + " ".join(words + more) + " préfet."))
+    got = {r["record_id"] for r in scan_noise.found(articles(spark, rows), articles(spark, [])).where("noise = 'misread'").collect()}
+    assert got == set(range(0, 900, 18))
+
+
 def test_scan_noise_empty(spark):
     assert scan_noise.found(articles(spark, []), articles(spark, [])).count() == 0
 
