@@ -10,7 +10,7 @@
 5. One pass over the texts strips the furniture, joins cut words and lines, and applies the corrections.
 
 Lists, tables and junk (by structure) are left as they are. Corrections and hyphened compounds are broadcast only while their
-counted rows stay under ``BROADCAST_ROWS``; beyond that the words of each record are joined with them by a shuffle.
+counted rows stay under ``BROADCAST_ROWS``; beyond that the words and cut words of each record are joined with them by a shuffle.
 
 Defined results for awkward input: null and empty texts have no noise; repeated rows count once; an empty table gives an
 empty result; extra columns are ignored; very long texts are read whole; words of equal rank go to the alphabetically first correction.
@@ -236,7 +236,7 @@ def _mend(titles, right, hyphened, fixes_inside: bool, with_text: bool):
                 kinds: set[str] = set()
                 fixed = text
                 if fixes_inside:
-                    known, sound = dict(cols[3][k] or ()), {}
+                    known, own, sound = dict(cols[3][k] or ()), set(cols[4][k] or ()), {}
                 if "\n" in text:
                     page = Page(text, furniture)
                     kinds, lines = set(page.kinds), [x for x, _ in page.lines]
@@ -274,7 +274,7 @@ def _swap(token: str, known: dict[str, str]) -> str:
 
 
 def _words_of(titles):
-    """The distinct words of every record, once cut words are joined."""
+    """The distinct words of every record, once cut words are joined with and without their hyphen, and (cut) those cut words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         furniture = Furniture(titles.value)
@@ -282,12 +282,15 @@ def _words_of(titles):
             rows = []
             for t, i, text in zip(*(c.to_pylist() for c in b.columns)):
                 page = Page(text, furniture)
-                joined = {at for at, _, _ in page.cuts()}
+                cuts = list(page.cuts())
+                joined = {at for at, _, _ in cuts}
                 whole = "".join(x[:-1] if at in joined else x + " " for at, (x, _) in enumerate(page.lines))
-                rows += [(t, i, w) for w in set(tokens(whole))]
+                kept = "".join(x[:-1] + "-" if at in joined else x + " " for at, (x, _) in enumerate(page.lines)) if cuts else ""
+                rows += [(t, i, w, False) for w in {*tokens(whole), *tokens(kept)}]
+                rows += [(t, i, w, True) for w in {f"{first}-{second}".lower() for _, first, second in cuts}]
             if rows:
                 x = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.string())], names=["record_type", "id", "wrong"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.string()), pa.array(x[3], pa.bool_())], names=["record_type", "id", "wrong", "cut"])
 
     return run
 
@@ -308,20 +311,22 @@ def mend(articles: DataFrame, laws: DataFrame, with_text: bool = True) -> DataFr
     texts = records(articles, laws)
     titles = spark.sparkContext.broadcast(learn_titles(texts.select("content")))
     types = cut(count_words(texts, titles))
-    right, own = cut(corrections(types)), compounds(types)
-    hyphened = spark.sparkContext.broadcast(frozenset(r["w"] for r in own.limit(BROADCAST_ROWS).collect()))
+    right, own = cut(corrections(types)), cut(compounds(types))
     schema = "record_type string, record_id bigint, noise array<string>, text string"
-    if _small(right):
+    if _small(right) and _small(own):
         known = spark.sparkContext.broadcast({r["wrong"]: r["w"] for r in right.collect()})
+        hyphened = spark.sparkContext.broadcast(frozenset(r["w"] for r in own.collect()))
         return texts.mapInArrow(_mend(titles, known, hyphened, False, with_text), schema).dropDuplicates(["record_type", "record_id"])
+    said = texts.mapInArrow(_words_of(titles), "record_type string, id bigint, wrong string, cut boolean")
+    fixes = said.where("not cut").join(right, "wrong").select("record_type", "id", "cut", "wrong", "w")
+    broken = said.where("cut").join(own.withColumnRenamed("w", "wrong"), "wrong").select("record_type", "id", "cut", "wrong", F.lit(None).cast("string").alias("w"))
     found_in = (
-        texts.mapInArrow(_words_of(titles), "record_type string, id bigint, wrong string")
-        .join(right, "wrong")
+        fixes.union(broken)
         .groupBy("record_type", "id")
-        .agg(F.map_from_entries(F.collect_set(F.struct("wrong", "w"))).alias("fixes"))
+        .agg(F.map_from_entries(F.collect_set(F.when(~F.col("cut"), F.struct("wrong", "w")))).alias("fixes"), F.collect_set(F.when(F.col("cut"), F.col("wrong"))).alias("own"))
     )
     none = spark.sparkContext.broadcast({})
-    return texts.join(found_in, ["record_type", "id"], "left").select("record_type", "id", "content", "fixes").mapInArrow(_mend(titles, none, hyphened, True, with_text), schema).dropDuplicates(["record_type", "record_id"])
+    return texts.join(found_in, ["record_type", "id"], "left").select("record_type", "id", "content", "fixes", "own").mapInArrow(_mend(titles, none, none, True, with_text), schema).dropDuplicates(["record_type", "record_id"])
 
 
 def found(articles: DataFrame, laws: DataFrame) -> DataFrame:

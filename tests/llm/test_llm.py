@@ -291,6 +291,17 @@ def test_scan_noise(spark, bound, monkeypatch):
     assert text["article", 204].startswith("- le registre\n") and ("article", 205) not in text and text["article", 206] == ""
 
 
+def test_more_compounds_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "BROADCAST_ROWS", 1)
+    pairs = ["sous-directeur", "vice-gouverneur", "porte-registre", "avant-conseil"]
+    rows = [(10 * k + j, f"Le {w} de la ville transmet le registre au conseil.") for k, w in enumerate(pairs) for j in range(3)]
+    rows += [(100 + k, f"Le conseil de la ville transmet au {w.replace('-', f'-{chr(10)}')} la demande.") for k, w in enumerate(pairs)]
+    a, none = articles(spark, rows), articles(spark, [])
+    assert scan_noise.found(a, none).count() == 0
+    text = {r["record_id"]: r["text"] for r in scan_noise.mend(a, none).collect()}
+    assert all(w in text[100 + k] for k, w in enumerate(pairs))
+
+
 def test_misreadings_commoner_than_one_in_a_thousand(spark):
     """A third of the records is scanned; dale is a word of its own, exarnine is not."""
     rng = random.Random(5)
