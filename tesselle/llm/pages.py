@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +23,6 @@ ISSUE_END = re.compile(r"\s*[/—–-]\s*(?:n\S?\s*)?\d+\s*$", re.I)
 
 MIN_RECORDS = 5
 MIN_PAGED = 0.3
-MAX_TITLES = 2000
 
 
 def key(line: str) -> str:
@@ -69,15 +68,15 @@ def _rows(seen: Counter, paged: Counter) -> pa.RecordBatch:
 
 
 def learn_titles(texts: DataFrame) -> list[str]:
-    """Keys of the running heads of the printed volumes, from all texts of one column; at most MAX_TITLES, the commonest."""
+    """Keys of the running heads of the printed volumes, from all texts of one column, without the rarer spellings of a commoner one."""
     c = texts.toDF("t").where("t like '%\n%'").mapInArrow(_candidates, "k string, n bigint, p bigint")
     # far beyond what a line of prose gets by chance, one in twenty
     c = c.groupBy("k").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).where(f"n >= {MIN_RECORDS} and p >= {MIN_PAGED} * n and p >= 0.05 * n + 0.5 * sqrt(n) + 1.5")
-    titles: list[str] = []
-    for r in c.orderBy(F.desc("n"), "k").limit(MAX_TITLES).collect():
-        if not any(_within(r["k"], t, 2) for t in titles):
-            titles.append(r["k"])
-    return titles
+    titles = Heads()
+    for r in sorted(c.collect(), key=lambda r: (-r["n"], r["k"])):
+        if not titles.like(r["k"]):
+            titles.add(r["k"])
+    return list(titles.all)
 
 
 def _within(a: str, b: str, most: int) -> bool:
@@ -94,11 +93,57 @@ def _within(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+class Heads:
+    """Running heads, found by spellings within two edits that begin or end alike: one third of such a head stands unharmed
+    in the spelling, at most two places from its own."""
+
+    def __init__(self, titles: list[str] = ()):
+        self.all: dict[str, None] = {}
+        self.lengths, self.starts, self.ends = set(), set(), set()
+        self.thirds: dict[tuple[int, int, str], list[str]] = defaultdict(list)
+        for t in titles:
+            self.add(t)
+
+    @staticmethod
+    def _cuts(n: int) -> list[tuple[int, int, int]]:
+        return [(0, 0, n // 3), (1, n // 3, 2 * n // 3), (2, 2 * n // 3, n)]
+
+    def add(self, t: str) -> None:
+        if t not in self.all:
+            self.all[t] = None
+            self.lengths.add(len(t))
+            self.starts.add(t[:3])
+            self.ends.add(t[-3:])
+            for j, a, b in self._cuts(len(t)):
+                self.thirds[len(t), j, t[a:b]].append(t)
+
+    def like(self, k: str) -> bool:
+        """Whether k is a head or such a spelling of one."""
+        if k in self.all:
+            return True
+        if k[:3] not in self.starts and k[-3:] not in self.ends:
+            return False
+        tried = set()
+        for n in range(len(k) - 2, len(k) + 3):
+            if n not in self.lengths:
+                continue
+            for j, a, b in self._cuts(n):
+                for d in range(-2, 3):
+                    if a + d < 0 or b + d > len(k):
+                        continue
+                    for t in self.thirds.get((n, j, k[a + d : b + d]), ()):
+                        if t not in tried and (k[:3] == t[:3] or k[-3:] == t[-3:]):
+                            tried.add(t)
+                            if _within(k, t, 2):
+                                return True
+        return False
+
+
 class Furniture:
     """Tells running heads and page numbers from text, line by line."""
 
     def __init__(self, titles: list[str]):
-        self.titles, self.exact, self.cache = titles, set(titles), {}
+        self.heads, self.cache = Heads(titles), {}
         self.longest = 1.5 * max(map(len, titles), default=0) + 24
 
     def kinds(self, line: str) -> tuple[str, ...]:
@@ -118,6 +163,6 @@ class Furniture:
         if not (12 <= len(line) <= self.longest):
             return ()
         k, page = head_key(line.strip())
-        if k in self.exact or any(_within(k, t, 2) for t in self.titles if abs(len(k) - len(t)) <= 2 and (k[:3] == t[:3] or k[-3:] == t[-3:])):
+        if self.heads.like(k):
             return ("header", "page_number") if page else ("header",)
         return ()

@@ -328,6 +328,26 @@ def test_furniture():
     assert f.kinds("RECUEIL OFFIC1EL DE LA VILLE   Page 3 / 9") == ("header", "page_number") and f.kinds("registre 12.") == ()
 
 
+def test_spellings_of_heads_equal_every_pair():
+    rng = random.Random(6)
+    titles = ["".join(rng.choice("ABCDE") for _ in range(rng.randint(12, 20))) for _ in range(60)]
+    heads = pages.Heads(titles)
+    for _ in range(3000):
+        k = list(rng.choice(titles))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(k))
+            k[at : at + 1] = rng.choice([[], ["F"], [k[at], "F"]])
+        k = "".join(k)
+        assert heads.like(k) == (k in titles or any(pages._within(k, t, 2) for t in titles if k[:3] == t[:3] or k[-3:] == t[-3:]))
+
+
+def test_every_head_of_many_is_learned(spark):
+    rng = random.Random(7)
+    titles = [" ".join("".join(rng.choice("ABCDEFGHIJ") for _ in range(6)) for _ in range(3)) for _ in range(2500)]
+    df = spark.createDataFrame([(f"Le conseil\n- {j} -\n{t}\nrefuse la demande.",) for t in titles for j in range(1, 7)], "t string")
+    assert set(pages.learn_titles(df)) == {pages.key(t) for t in titles}
+
+
 # ---- p2
 
 
