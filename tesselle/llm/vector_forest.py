@@ -4,10 +4,10 @@ Every tree gives each vector a string of 63 random-hyperplane signs. Sorted, the
 longest-prefix matches of a vector are its neighbours in the sorted array, and going up the tree is moving
 outwards in it. A tree is range-partitioned by its strings, so a dense prefix is split by its further bits (and by a hash
 of the id where whole strings are equal) and no task holds more than a slice of the array. Within a
-slice each vector meets, by matrix products over blocks, at least the ``reach`` strings on either side of it - the
-matches of the longest prefixes, then of shorter ones - with cosines in double precision. The trees' candidates are then
-merged: a vector's list is cut at k by (cosine, id), the same rule in every tree, which is the synchronous
-ascent taken as far as ``reach``.
+slice each vector meets, by matrix products over blocks, at least the ``reach`` strings on either side of it, as far as
+the slice goes - a fixed window; no prefix length is computed - with cosines in double precision. The trees' candidates are then
+merged: a vector's list is cut at k by (cosine, id), the same rule in every tree, in place of
+the synchronous ascent.
 
 A dense group larger than that would lie outside every window for the most part. A row that meets ``reach / 2`` rows of cosine
 ``DENSE`` and more in the window of any tree is taken to stand in one and is compared with all vectors, by block products.
