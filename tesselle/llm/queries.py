@@ -25,7 +25,7 @@ def _sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(s: SparkSession, d: str) -> DataFrame:
-    return vector_forest.neighbours(table(s, d, "articles_vecteurs"), k=5, every=20, reach=vector_forest.WIDE_REACH)
+    return vector_forest.neighbours(table(s, d, "articles_vecteurs"), k=5, every=20, trees=vector_forest.WIDE_TREES, probes=vector_forest.PROBES)
 
 
 def _composition(s: SparkSession, d: str) -> DataFrame:
