@@ -9,54 +9,75 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.session import cut
+
 BLOCK = 4096
+PART = 65_536
+
+
+def _cells(dim: int, k: int):
+    """Rows sorted by (cell, role): the best k of each query (role 0) among the items (role 1) of its cell."""
+
+    def best(ids, x, held, others, y):
+        c = np.round(x @ y.T, 9)
+        c[ids[:, None] == others[None, :]] = -2
+        rank = np.lexsort((np.broadcast_to(others, c.shape), -c), axis=1)[:, :k]
+        got = np.take_along_axis(c, rank, axis=1), others[rank]
+        if held is None:
+            return got
+        s, i = np.concatenate([held[0], got[0]], axis=1), np.concatenate([held[1], got[1]], axis=1)
+        rank = np.lexsort((i, -s), axis=1)[:, :k]
+        return np.take_along_axis(s, rank, axis=1), np.take_along_axis(i, rank, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, x, held = None, np.zeros(0, np.int64), np.zeros((0, dim)), None
+
+        def emit():
+            q, s, i = np.repeat(ids, held[0].shape[1]), held[0].reshape(-1), held[1].reshape(-1)
+            ok = s > -2
+            return pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(i[ok]), pa.array(s[ok])], names=["query", "id", "similarity"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c, role, i = (b.column(n).to_numpy() for n in range(3))
+            y = np.asarray(b.column(3).flatten()).reshape(-1, dim).astype(np.float64)
+            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            mark = c * 2 + role
+            cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1), len(mark)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if c[lo] != cell:
+                    if held is not None:
+                        yield emit()
+                    cell, ids, x, held = c[lo], np.zeros(0, np.int64), np.zeros((0, dim)), None
+                if role[lo] == 0:
+                    ids, x = np.concatenate([ids, i[lo:hi]]), np.concatenate([x, y[lo:hi]])
+                else:
+                    for a in range(lo, hi, 4096 if len(ids) else hi):
+                        if len(ids):
+                            held = best(ids, x, held, i[a : min(hi, a + 4096)], y[a : min(hi, a + 4096)])
+        if held is not None:
+            yield emit()
+
+    return run
 
 
 def batch_nearest(items: DataFrame, asked: Column, k: int, dim: int = 64) -> DataFrame:
     """(query, id, similarity, rank) of the k nearest others of every item that meets ``asked``, against all items.
 
-    Queries are packed into blocks of BLOCK rows; a block meets the items partition by partition and leaves its k best of
-    each, which are then merged. A block is one row of bounded size, so joining it to the items moves blocks, not pairs.
+    Asked rows and items are dealt out by a hash of the id over blocks of about BLOCK and PART rows, and every block of queries meets every
+    part of the items in a cell of its own: one pass, whatever the number of blocks. A cell holds its queries' k best only, which are
+    then merged. Vectors of the wrong size, all zero or with a null or NaN take no part; no asked row gives an empty result.
     """
     ok = (F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
-    items = items.where(ok).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
-    n = max(1, -(-items.where(asked).count() // BLOCK))
-    blocks = items.where(asked).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("b").agg(F.collect_list(F.struct("id", "embedding")).alias("q"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(0).to_pylist()
-            ids = [np.array([r["id"] for r in q], np.int64).tobytes() for q in rows]
-            mats = [np.array([r["embedding"] for r in q], np.float32).tobytes() for q in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(mats, pa.binary())], names=["ids", "mat"])
-
-    packed = blocks.select("q").mapInArrow(pack, "ids binary, mat binary").collect() if n == 1 else None
-    if packed is None:  # several blocks: one pass over the items a block, on the driver's schedule
-        out = [batch_nearest(items, asked & (F.pmod(F.xxhash64("id"), F.lit(n)) == i), k, dim) for i in range(n)]
-        whole = out[0]
-        for o in out[1:]:
-            whole = whole.union(o)
-        return whole
-    known = items.sparkSession.sparkContext.broadcast([(bytes(r["ids"]), bytes(r["mat"])) for r in packed])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).cast(pa.int64()).to_numpy()
-            if not len(ids) or not known.value:
-                continue
-            x = np.asarray(b.column(1).flatten()).reshape(-1, dim).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            qi = np.frombuffer(known.value[0][0], np.int64)
-            y = np.frombuffer(known.value[0][1], np.float32).reshape(-1, dim).astype(np.float64)
-            c = np.round((y / np.linalg.norm(y, axis=1, keepdims=True)) @ x.T, 9)
-            c[qi[:, None] == ids[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(ids, c.shape), -c), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(qi)), order.shape[1])
-            cols = order.reshape(-1)
-            s = c[rows, cols]
-            keep = s > -2
-            yield pa.RecordBatch.from_arrays([pa.array(qi[rows[keep]]), pa.array(ids[cols[keep]]), pa.array(s[keep])], names=["query", "id", "similarity"])
-
-    near = items.mapInArrow(scan, "query bigint, id bigint, similarity double")
+    items = items.where(ok & F.col("id").isNotNull())
+    queries = cut(items.where(asked).select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")))
+    items = items.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    high, wide = max(1, -(-queries.count() // BLOCK)), max(8, -(-items.count() // PART))
+    block, part = F.pmod(F.xxhash64("id"), F.lit(high)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(wide))
+    one = queries.select(F.explode(F.sequence(block * wide, block * wide + wide - 1)).alias("cell"), F.lit(0).alias("role"), "id", "embedding")
+    two = items.select(F.explode(F.sequence(part, part + (high - 1) * wide, F.lit(wide).cast("bigint"))).alias("cell"), F.lit(1).alias("role"), "id", "embedding")
+    rows = one.union(two).repartition(high * wide, "cell").sortWithinPartitions("cell", "role")
+    near = rows.mapInArrow(_cells(dim, k), "query bigint, id bigint, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -24,12 +24,29 @@ def mrr(ranks: DataFrame, cutoff: int) -> DataFrame:
 
 
 def bootstrap(values: DataFrame, column: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """(mean, low, high): 95 % interval of the mean. A resample's multiset is drawn from the counts of distinct values, which
-    is the same distribution as drawing rows, so the driver needs no more than those counts (rounded to 6 places)."""
-    c = values.groupBy(F.round(column, 6).alias("v")).agg(F.count("*").alias("n")).orderBy("v").limit(1_000_000).toPandas()
-    if not len(c):
-        return values.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "mean double, low double, high double")
-    v, n = c["v"].to_numpy(float), c["n"].to_numpy(np.int64)
-    draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=resamples) @ v / n.sum()
-    low, high = np.quantile(draws, [0.025, 0.975])
-    return values.sparkSession.createDataFrame([(float(v @ n / n.sum()), float(low), float(high))], "mean double, low double, high double")
+    """(mean, low, high): 95 % interval of the mean, from ``resamples`` Poisson resamples.
+
+    Every row enters every resample a Poisson(1) number of times; equal values draw together, a Poisson of their number, from a generator
+    seeded by the value. One pass gives each partition's sums and sizes of all resamples, so only ``resamples`` rows a partition are
+    merged and no value is dropped. Nulls and NaN take no part, no value gives zeros.
+    """
+    counts = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+
+    def draw(batches):
+        import pyarrow as pa
+
+        total, size, whole = np.zeros(resamples), np.zeros(resamples), np.zeros(2)
+        for b in batches:
+            for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = np.random.default_rng([seed, int(np.float64(v).view(np.uint64))])
+                times = own.poisson(n, resamples)
+                total += times * v
+                size += times
+                whole += (v * n, n)
+        if whole[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, resamples), pa.int32()), pa.array([whole[0], *total]), pa.array([whole[1], *size])], names=["k", "total", "size"])
+
+    sums = counts.mapInArrow(draw, "k int, total double, size double").groupBy("k").agg(F.sum("total").alias("t"), F.sum("size").alias("n")).where("n > 0")
+    means = sums.select("k", (F.col("t") / F.col("n")).alias("m"))
+    got = means.agg(F.max(F.when(F.col("k") < 0, F.col("m"))).alias("mean"), F.expr("percentile(case when k >= 0 then m end, 0.025)").alias("low"), F.expr("percentile(case when k >= 0 then m end, 0.975)").alias("high"))
+    return got.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "low", "high")])

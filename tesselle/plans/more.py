@@ -9,7 +9,7 @@ from tesselle.functions import text
 from tesselle.operators import refinement as R
 from tesselle.plans.analytics import A, C, L, M, ROLE
 from tesselle.plans.retrieval import fold, words
-from tesselle.session import table
+from tesselle.session import bounded, broadcast_if_small, table
 from tesselle.sources import tables as T
 
 Q: dict = {}
@@ -229,12 +229,26 @@ def boilerplate_classifier(s: SparkSession, d: str) -> DataFrame:
     return T.articles(s, d, "content").where("content is not null").select("id", c.alias("class"))
 
 
-@q("SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM documents d, eval_items e WHERE contains(d.text, substring(e.text, 1, 60)))) AS touched, count(*) AS documents FROM documents")
+_FLAT = lambda c: f"' ' || array_to_string(regexp_extract_all({fold(c)}, '([a-z0-9]+)', 1), ' ') || ' '"
+
+
+@q(f"SELECT item_id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {_FLAT('text')} AS t FROM documents) d JOIN (SELECT item_id, {_FLAT('text')} AS t FROM eval_items WHERE text IS NOT NULL) e ON len(e.t) > 2 AND contains(d.t, e.t) GROUP BY 1")
 def benchmark_contamination_contains(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the opening of an evaluation item; the items (a fixed table) are one broadcast array."""
-    heads = table(s, d, "eval_items").where("text is not null").agg(F.collect_set(F.substring("text", 1, 60)).alias("heads"))
-    x = table(s, d, "documents").select("text").join(F.broadcast(heads))
-    return x.select(F.exists("heads", lambda h: F.contains(F.col("text"), h)).alias("t")).agg(F.count_if("t").alias("touched"), F.count("*").alias("documents"))
+    """Evaluation items that stand whole in documents, compared by their words. Candidates share the item's first ten words
+    (all words of a shorter item), so documents meet items by an equi-join; the whole item is then looked for."""
+    flat = lambda c: F.concat(F.lit(" "), F.array_join(text.words(F.col(c)), " "), F.lit(" "))
+    e = table(s, d, "eval_items").where("text is not null").select("item_id", text.words(F.col("text")).alias("w")).where("size(w) > 0")
+    e = e.select("item_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("item"), F.least(F.size("w"), F.lit(10)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, 10), " ")).alias("h"))
+    sizes = [r["n"] for r in bounded(e.select("n").distinct(), 10, "run lengths")]
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("w"), flat("text").alias("t"))
+
+    def runs_of(n: int):
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+        return F.when(F.size("w") >= n, own).otherwise(F.array().cast("array<bigint>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*map(runs_of, sizes)))) if sizes else F.array().cast("array<bigint>")
+    hits = docs.select("doc_id", "t", F.explode(runs).alias("h")).join(broadcast_if_small(e, 100_000), "h").where(F.contains("t", "item"))
+    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 @q("SELECT d.doc_id, r.service FROM documents d JOIN (VALUES ('licence', 'permits'), ('pension', 'welfare'), ('impôt', 'taxes')) r(word, service) ON contains(lower(d.text), r.word)")
