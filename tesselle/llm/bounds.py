@@ -1,11 +1,3 @@
 """Broadcasting behind a check of the size."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """The table marked for broadcast if it has at most ``most`` rows, else as it is; counting stops at the bound."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+from tesselle.session import bounded, broadcast_if_small  # noqa: F401

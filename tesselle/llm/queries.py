@@ -19,9 +19,7 @@ def _conversations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _sessions(s: SparkSession, d: str) -> DataFrame:
-    m, c = _conversations(s, d)
-    gap = conversations.calibrate_gap(m)
-    return conversations.rebuild(m, c, gap).select("conversation_id", "session_no", "turn_no", "message_id", "role", "created_at", "content")
+    return conversations.rebuild(*_conversations(s, d))
 
 
 def _neighbours(s: SparkSession, d: str) -> DataFrame:
@@ -30,7 +28,7 @@ def _neighbours(s: SparkSession, d: str) -> DataFrame:
 
 def _composition(s: SparkSession, d: str) -> DataFrame:
     laws, cats = table(s, d, "laws"), table(s, d, "categories")
-    got = subjects.subjects(laws, cats, table(s, d, "common_words"), subjects.RESIDUAL)
+    got = subjects.subjects(laws, cats, table(s, d, "common_words"))
     total = laws.select("id").where("id is not null").distinct().count()
     n = got.groupBy("category_id").agg(F.count("*").alias("laws"), F.sum("sentences").alias("sentences"))
     return n.join(cats.select(F.col("id").alias("category_id"), "name"), "category_id").withColumn("share_of_laws", F.round(F.col("laws") / total, 6))
@@ -60,15 +58,15 @@ def queries() -> dict[str, Query]:
     }
 
 
-def _role_case() -> str:
-    when = " ".join(f"WHEN r IN ({', '.join(repr(w) for w in words.split())}) THEN '{name}'" for name, words in conversations.ROLES.items())
-    return f"CASE {when} END"
-
+# The roles as this SQL reads them, spelt out here and not taken from the operator.
+_ROLE = """CASE WHEN r IN ('user', 'utilisateur', 'utilisatrice', 'usager', 'usuario', 'benutzer', 'nutzer', 'human', 'humain', 'humano', 'mensch', 'client', 'customer', 'visiteur', 'visitor', 'question', 'me') THEN 'user'
+ WHEN r IN ('assistant', 'assistante', 'asistente', 'assistent', 'bot', 'chatbot', 'ai', 'ia', 'ki', 'agent', 'gpt', 'model', 'modell', 'modelo', 'modèle', 'answer') THEN 'assistant'
+ WHEN r IN ('system', 'systeme', 'système', 'sistema', 'developer') THEN 'system' END"""
 
 _BLANK = r"[\s\p{Z}\p{C}]"
 
 P5 = f"""WITH m AS (SELECT DISTINCT id, conversation_id, created_at, lower(regexp_replace(role, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS r, regexp_replace(content, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS said FROM messages WHERE conversation_id IN (SELECT id FROM conversations)),
-t AS (SELECT *, {_role_case()} AS speaker FROM m),
+t AS (SELECT *, {_ROLE} AS speaker FROM m),
 u AS (SELECT * FROM t WHERE speaker IS NULL OR speaker <> 'system'),
 good AS (SELECT conversation_id FROM u GROUP BY 1 HAVING bool_and(coalesce(speaker IS NOT NULL AND created_at IS NOT NULL AND said <> '', false))),
 k AS (SELECT *, lag(speaker) OVER w AS s0, lag(said) OVER w AS c0 FROM u WHERE conversation_id IN (SELECT conversation_id FROM good) WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id)),
