@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, documents, more, relational, retrieval
+from tesselle.plans import analytics, documents, more, relational, retrieval, texts
 
-MODULES = [analytics, relational, retrieval, documents, more]
+MODULES = [analytics, relational, retrieval, documents, more, texts]
 
 
 def queries() -> dict:
