@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, documents, more, relational, retrieval, texts
+from tesselle.plans import analytics, documents, indexed, more, relational, retrieval, texts
 
-MODULES = [analytics, relational, retrieval, documents, more, texts]
+MODULES = [analytics, relational, retrieval, documents, more, texts, indexed]
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesselle.functions import text, vectors
 from tesselle.operators import refinement as R
 from tesselle.operators import search as S
+from tesselle.operators import text_index
 from tesselle.plans.analytics import A, L
 from tesselle.session import table
 from tesselle.sources import tables as T
@@ -226,8 +227,8 @@ _RRF = f"(SELECT doc_id, sum(s) AS score FROM (SELECT doc_id, 0.4 / (60 + rank)
 
 
 def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(s, d, "documents").select("doc_id", "text")
-    t = S.ranked(S.text_scores(docs, ["licence", "pilote"], {"text": 1.0}, "doc_id"), [F.desc("score"), F.asc("doc_id")], 50).select("doc_id", "rank")
+    m = text_index.matches(text_index.index(s, d), "d", ["licence", "pilote"], every=False).select(F.col("id").alias("doc_id"), F.col("hits").alias("score"))
+    t = S.ranked(m, [F.desc("score"), F.asc("doc_id")], 50).select("doc_id", "rank")
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     v = S.ranked(S.nearest(e, VEC, 50, "doc_id"), [F.desc("similarity"), F.asc("doc_id")], 50).select("doc_id", "rank")
     return t, v
@@ -245,9 +246,7 @@ def min_max_normalize(s: SparkSession, d: str) -> DataFrame:
 
 @q(f"SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM {_RRF}) ORDER BY score DESC, doc_id LIMIT 10")
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select("doc_id", "text")
-    items = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return S.hybrid(docs, items, ["licence", "pilote"], VEC, "doc_id", {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+    return S.min_max(S.rrf(*_two(s, d), "doc_id"), "score", bounded=True).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @q(f"SELECT doc_id, row_number() OVER (ORDER BY rank, side) AS pos FROM (SELECT doc_id, rank, side, row_number() OVER (PARTITION BY doc_id ORDER BY rank, side) AS k FROM (SELECT doc_id, rank, 0 AS side FROM {_TXT} UNION ALL SELECT doc_id, rank, 1 FROM {_SEM})) WHERE k = 1")
