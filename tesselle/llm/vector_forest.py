@@ -222,16 +222,20 @@ def _search(limit: int, dense_at: int, budget: int, window: int):
             z = slice(a, a + 64)
             x, y = lo[z].min(), hi[z].max()
             rows = asked[z]
-            apart = np.zeros((len(rows), y - x), np.uint16)
-            for mine, theirs in zip(sketch, held_by):
-                apart += np.bitwise_count(mine[rows, None] ^ theirs[None, x:y])
+            first = np.zeros((len(rows), y - x), np.uint8)  # two words first: what is too far apart in them is so in all
+            for mine, theirs in zip(sketch[:2], held_by[:2]):
+                first += np.bitwise_count(mine[rows, None] ^ theirs[None, x:y])
+            first[iid[None, x:y] == q[z, None]] = 255
+            i, j = np.nonzero(first <= min(limit, 254))
+            apart = first[i, j].astype(np.int64)
+            for mine, theirs in zip(sketch[2:], held_by[2:]):
+                apart += np.bitwise_count(mine[rows[i]] ^ theirs[x + j])
             close = apart <= limit
-            close &= iid[None, x:y] != q[z, None]
-            many = np.count_nonzero((apart <= dense_at) & close, axis=1) > window // 2
+            many = np.bincount(i[close & (apart <= dense_at)], minlength=len(rows)) > window // 2
             if many.any():
                 dense.append(q[z][many])
-                close[many] = False
-            i, j = np.nonzero(close)
+                close &= ~many[i]
+            i, j = i[close], j[close]
             one, other = q[z][i], iid[x + j]
             turn = (held_asked[x + j] > 0) & (other < one)  # a pair that is met from both sides is one
             out.append(np.stack([np.where(turn, other, one), np.where(turn, one, other)]))
