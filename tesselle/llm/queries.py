@@ -49,6 +49,7 @@ def queries() -> dict[str, Query]:
         "p6_neighbours": _neighbours,
         "p7_found": lambda s, d: languages.found(table(s, d, "laws"), table(s, d, "common_words")),
         "p7_segments": lambda s, d: languages.detect(table(s, d, "laws"), table(s, d, "common_words")),
+        "p7_labels": lambda s, d: languages.labels(table(s, d, "laws"), table(s, d, "common_words")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_runs": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
