@@ -26,6 +26,8 @@ from tesselle.session import cut
 RUN = 14
 K = 7
 BROADCAST_ROWS = 1_000_000
+BROADCAST_ITEMS = 10_000
+SALTS = 32
 
 
 def _winnow(h: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = K) ->
     test = broadcast_if_small(cut(test), BROADCAST_ROWS)
     pairs = cut(fingerprints(docs, "doc_id", "text", run, k).join(test, "fp").select("doc_id", "item_id").distinct())
     pairs = broadcast_if_small(pairs, BROADCAST_ROWS)  # else all texts would be shuffled for the few that hit
-    return docs.join(pairs, "doc_id").join(held, "item_id").select("doc_id", "text", "item_id", "passage").mapInArrow(_extend(run), "doc_id bigint, item_id bigint, run_words bigint, run_start bigint").distinct()
+    hits = docs.join(pairs, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    if held.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
+        hits = hits.join(F.broadcast(held), "item_id")
+    else:  # an item that leaked everywhere is spread over SALTS keys
+        hits = hits.join(held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["item_id", "salt"])
+    return hits.select("doc_id", "text", "item_id", "passage").mapInArrow(_extend(run), "doc_id bigint, item_id bigint, run_words bigint, run_start bigint").distinct()
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -39,13 +39,17 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s_-]+", "_")
 
 
-def _tokens(path: str):
+def ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary, read where the driver is; executors get it by broadcast (its size is that of the public file, about a megabyte)."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def _tokens(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
         for b in batches:
             n = [len(bpe.encode_ordinary(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -57,7 +61,7 @@ def sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of every document with a text and a source, the source in its usual spelling."""
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), "text")
     d = d.where("doc_id is not null and source is not null and text is not null and text <> ''")
-    return d.mapInArrow(_tokens(tokenizer), "doc_id bigint, source string, tokens bigint").where("tokens > 0").dropDuplicates(["doc_id"])
+    return d.mapInArrow(_tokens(documents.sparkSession.sparkContext.broadcast(ranks(tokenizer))), "doc_id bigint, source string, tokens bigint").where("tokens > 0").dropDuplicates(["doc_id"])
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -7,7 +7,7 @@ temperature and one offset a class on ``HOLDOUT``, a hand-checked set of texts.
 ensemble is broadcast, its size is fixed by ROUNDS and DEPTH.
 
 Defined results for awkward input: a null content has no row, an empty or blank text is junk with zero statistics; repeated
-rows count once; an empty table gives an empty result (and trains on the holdout alone); extra columns are ignored; very long texts are measured whole.
+rows count once; an empty table gives an empty result (and trains on made-up texts); extra columns are ignored; very long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselle.llm.bounds import bounded
 from tesselle.llm.sampling import sample_texts
 
 FORMS = ["prose", "list", "table", "junk"]
@@ -214,15 +215,30 @@ def fit(texts: list[str], common: frozenset[str]) -> Trees:
             labels.append(FORMS.index(label))
     hx = np.array([statistics(t, common) for _, t in HOLDOUT])
     hy = np.array([FORMS.index(f) for f, _ in HOLDOUT])
-    if len(set(labels)) < len(FORMS):  # a corpus that lacks a form: the checked texts stand in
-        rows += hx.tolist()
-        labels += hy.tolist()
+    for form in set(range(len(FORMS))) - set(labels):  # a corpus that lacks a form: made-up texts of that form stand in
+        for t in stand_ins(FORMS[form]):
+            rows.append(statistics(t, common))
+            labels.append(form)
     return Trees.fit(np.array(rows), np.array(labels), len(FORMS)).calibrate(hx, hy)
 
 
+def stand_ins(form: str, n: int = 40) -> list[str]:
+    """Made-up texts of a form, by rule."""
+    rng = np.random.default_rng(11)
+    words = "la route du nord et le pont de la ville sont à la charge de toute personne qui garde the house of the town is kept by a clerk".split()
+    say = lambda k: " ".join(rng.choice(words, k))
+    if form == "prose":
+        return [say(int(rng.integers(25, 90))).capitalize() + "." for _ in range(n)]
+    if form == "list":
+        return ["\n".join(f"{mark} {say(3)} ;" for _ in range(int(rng.integers(4, 12)))) for mark in "-•–" for _ in range(n // 3)] + ["\n".join(f"{i + 1}. {say(3)}" for i in range(6)) for _ in range(n // 3)]
+    if form == "table":
+        return ["\n".join(f"| {rng.integers(1, 99)} | {say(2)} | {rng.integers(10, 9999)} |" for _ in range(int(rng.integers(3, 9)))) for _ in range(n)]
+    return [" ".join("".join(rng.choice(list("bcdfghjkqz"), 5)) for _ in range(14)) for _ in range(n // 2)] + ["".join(rng.choice(list("0123456789/.-\n"), 80)) for _ in range(n // 2)]
+
+
 def common_set(common_words: DataFrame, most: int = 100_000) -> frozenset[str]:
-    """The words of the table of function words; at most ``most``."""
-    return frozenset(r["word"].lower() for r in common_words.select("word").where("word is not null").distinct().limit(most).collect())
+    """The words of the table of function words; a table of more than ``most`` is refused."""
+    return frozenset(r["word"].lower() for r in bounded(common_words.select("word").where("word is not null").distinct(), most, "common_words"))
 
 
 def train(articles: DataFrame, common: frozenset[str], sample: int = SAMPLE) -> Trees:

@@ -54,3 +54,34 @@ JUNK = [
     "~ ' l ` i | 1 r . , s - t ' ~ | l n i ` . 1 , r t ' - s",
 ]
 HOLDOUT = [(form, text) for form, texts in (("prose", PROSE), ("list", LIST), ("table", TABLE), ("junk", JUNK)) for text in texts]
+
+# A second set, for measuring only: nothing is fitted on it.
+CHECKED = [
+    ("prose", "Le receveur établit chaque mois un état des droits perçus et le remet au directeur, qui le vise avant le dix du mois suivant."),
+    ("prose", "No ferry may leave the quay at night unless the harbour master has given leave in writing and the lamps have been lit."),
+    ("prose", "Die Gemeinde unterhält den Weg bis zur Brücke. Jenseits der Brücke fällt der Unterhalt dem Besitzer des Waldes zur Last."),
+    ("prose", "El alcalde convoca a los vecinos una vez al año y les da cuenta de los gastos de la plaza y de la fuente."),
+    ("prose", "Les héritiers qui renoncent à la\nsuccession en font la déclaration\nau greffe dans les trois mois du\ndécès, à peine de nullité."),
+    ("prose", "TOUT NAVIRE QUI ENTRE AU PORT ACQUITTE UN DROIT DONT LE MONTANT EST FIXÉ CHAQUE ANNÉE PAR LE CONSEIL, SUR PROPOSITION DU CAPITAINE."),
+    ("prose", "This order is revoked."),
+    ("prose", "La demande comprend trois pièces :\n1° le plan du terrain ;\n2° l'accord des voisins ;\n3° la quittance du droit.\nElle est adressée au maire, qui l'instruit dans les deux mois et la transmet avec son avis au préfet du département."),
+    ("prose", "Where two neighbours share a wall, each may lean a building against it, provided that the other is told a month before and that no beam passes the middle of the wall."),
+    ("prose", "Il est tenu dans chaque école un registre des présences. L'instituteur le signe chaque soir et l'inspecteur le contrôle à son passage."),
+    ("list", "- la pelle\n- la pioche\n- le râteau\n- la brouette\n- le seau"),
+    ("list", "a) apples ;\nb) pears ;\nc) plums ;\nd) dried figs ;\ne) walnuts."),
+    ("list", "1) Marie Leroy\n2) Jean Petit\n3) Ana Ruiz\n4) Karl Braun\n5) Eva Stone\n6) Luc Blanc"),
+    ("list", "• el trigo\n• la cebada\n• el maíz\n• la avena"),
+    ("list", "le maire\nle notaire\nle juge\nle greffier\nle garde\nle médecin\nle pharmacien"),
+    ("list", "i. the upper gate\nii. the lower gate\niii. the mill race\niv. the weir"),
+    ("table", "| Année | Navires | Tonnes |\n|---|---|---|\n| 1990 | 214 | 18 400 |\n| 1991 | 230 | 19 050 |"),
+    ("table", "Ref\tName\tQty\tPrice\n001\tnails\t400\t12\n002\thinges\t60\t85\n003\tlocks\t15\t240"),
+    ("table", "<tr><td>Zone 1</td><td>450</td><td>12</td></tr>\n<tr><td>Zone 2</td><td>380</td><td>9</td></tr>\n<tr><td>Zone 3</td><td>512</td><td>15</td></tr>"),
+    ("table", "id;lieu;jour;heure\n1;mairie;12;9\n2;école;13;10\n3;port;14;8\n4;gare;15;7"),
+    ("table", "Class      Fee        Term\nA          1 200      12\nB            850       6\nC            400       3"),
+    ("junk", "qz wrt plkj zxcv bnm qwr trw kjh gfd xcv bnmq wrtp lkjh"),
+    ("junk", "00-11/22.33-44\n55/66-77\n8899/00.11-22\n33"),
+    ("junk", "....................... 3\n............... 9\n.............................. 17\n......... 21"),
+    ("junk", "e\nr\nt\nla\nn\no\nre\nt\ns\ne\nn"),
+    ("junk", "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQ="),
+    ("junk", "| ~ ' . ` - _ | , ; ~ ' ` . - _ | ~ , . ' l i 1 | ~"),
+]

@@ -182,7 +182,7 @@ def corrections(types: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(r["good"]).alias("good"), F.lit(r["bad"]).alias("bad"), F.lit(r["d"]).alias("d")) for r in diffs.collect()])
     freq = types.where((F.col("n") >= MIN_FREQUENT) & ~F.col("w").rlike(SIGNS)).selectExpr("w as g", "n as ng", "r as rg", "m as mg", f"{_sum_hash('w')} as h")
     top = types.agg(F.max("n")).first()[0] or 0
-    rare = types.where(F.col("n") * 4 <= top).where("length(w) between 2 and 60").selectExpr("w as wrong", "n", "r", "m", f"{_sum_hash('w')} as h0")
+    rare = types.where(F.col("n") * 4 <= top).where("length(w) > 1").selectExpr("w as wrong", "n", "r", "m", f"{_sum_hash('w')} as h0")
     rare = rare.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "wrong")  # small rows that multiply
     rare = rare.withColumn("p", F.filter(steps, lambda x: F.instr(F.col("wrong"), x["bad"]) > 0))
 

@@ -348,6 +348,30 @@ def test_every_head_of_many_is_learned(spark):
     assert set(pages.learn_titles(df)) == {pages.key(t) for t in titles}
 
 
+def test_confidence_of_a_language_is_calibrated(spark, sf):
+    """On segments the model never saw: short pieces, whose share of right verdicts must follow their confidence."""
+    words = languages.common_sets(table(spark, sf, "common_words"))
+    rows = [r["t"] for r in table(spark, sf, "documents").select(F.col("text").alias("t")).where("t is not null").distinct().collect()]
+    rng = random.Random(8)
+    rng.shuffle(rows)
+    model = languages.fit(rows[: len(rows) // 2], words)
+    bins = collections.defaultdict(list)
+    for piece, language in languages.pieces(languages.labelled(rows[len(rows) // 2 :], words)):
+        got, sure = model.judge(model.packed(piece))
+        bins[min(9, int(sure * 10))].append((sure, got == language))
+    n = sum(map(len, bins.values()))
+    error = sum(abs(sum(p for p, _ in b) - sum(ok for _, ok in b)) for b in bins.values()) / n
+    assert n > 200 and error < 0.05, (n, error)
+
+
+def test_more_languages_than_a_byte_has_bits():
+    common = {f"x{k}": frozenset({f"w{chr(97 + k)}ord", f"q{chr(97 + k)}z"}) for k in range(11)}
+    m = languages.fit([], common)
+    assert m.slots.dtype == np.uint16 and m.decide("wkord qkz wkord")[0] == "x10"
+    with pytest.raises(ValueError):
+        languages.fit([], {f"x{k}": frozenset({f"w{k}"}) for k in range(65)})
+
+
 # ---- p2
 
 
@@ -371,6 +395,25 @@ def test_quality_on_the_holdout(spark):
     assert quality.found(articles(spark, []), common(spark)).count() == 0
 
 
+def test_quality_is_calibrated_on_texts_never_fitted():
+    from tesselle.llm.quality_holdout import CHECKED
+
+    words = frozenset("le la de du des une dans pour sur avec the of to and in is for a".split())
+    m = quality.fit([t for _, t in HOLDOUT], words)
+    x = np.array([quality.statistics(t, words) for _, t in CHECKED])
+    y = np.array([quality.FORMS.index(f) for f, _ in CHECKED])
+    p = m.probabilities(x)
+    loss = -np.log(np.maximum(1e-9, p[np.arange(len(y)), y])).mean()
+    top, right = p.max(axis=1), p.argmax(axis=1) == y
+    assert not {t for _, t in CHECKED} & {t for _, t in HOLDOUT} and right.mean() >= 0.8, [t for r, (_, t) in zip(right, CHECKED) if not r]
+    assert loss < 0.6 and abs(top.mean() - right.mean()) < 0.15, (loss, top.mean(), right.mean())
+
+
+def test_a_table_of_function_words_beyond_the_bound_is_refused(spark):
+    with pytest.raises(ValueError):
+        quality.common_set(common(spark), most=5)
+
+
 # ---- p3
 
 
@@ -449,6 +492,7 @@ def test_joins_without_broadcast_give_the_same(spark, sf, monkeypatch):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
     want = {tuple(r) for r in leakage.found(docs, items).collect()}
     monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_ITEMS", 0)
     assert {tuple(r) for r in leakage.found(docs, items).collect()} == want and want
     a = table(spark, sf, "articles")
     want = {tuple(r) for r in near_duplicates.found(a).collect()}
