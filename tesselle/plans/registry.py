@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, documents, indexed, more, relational, retrieval, texts
+from tesselle.plans import analytics, documents, indexed, more, relational, retrieval, status, texts
 
-MODULES = [analytics, relational, retrieval, documents, more, texts, indexed]
+MODULES = [analytics, relational, retrieval, documents, more, texts, indexed, status]
 
 
 def queries() -> dict:
