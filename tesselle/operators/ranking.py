@@ -50,7 +50,7 @@ def max_normalised(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(top)).withColumn(column, F.least(F.coalesce(F.col(column), F.lit(0.0)) / F.col("_top"), F.lit(1.0))).drop("_top")  # one row
 
 
-def blend(rows: DataFrame, stage: str, model: str, share: float = 0.5) -> Column:
+def blend(stage: str, model: str, share: float = 0.5) -> Column:
     """(1 - share) of the first score and share of a model's score out of ten; the first alone where the model gave none."""
     return F.when(F.col(model).isNull(), F.col(stage)).otherwise((1 - share) * F.col(stage) + share * F.least(F.greatest(F.col(model), F.lit(0.0)), F.lit(10.0)) / 10)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, documents, indexed, more, relational, retrieval, status, texts
+from tesselle.plans import analytics, answers, documents, indexed, more, relational, retrieval, status, texts
 
-MODULES = [analytics, relational, retrieval, documents, more, texts, indexed, status]
+MODULES = [analytics, relational, retrieval, documents, more, texts, indexed, status, answers]
 
 
 def queries() -> dict:
