@@ -226,8 +226,10 @@ def _search(limit: int, dense_at: int, budget: int, window: int):
             for mine, theirs in zip(sketch[:2], held_by[:2]):
                 first += np.bitwise_count(mine[rows, None] ^ theirs[None, x:y])
             first[iid[None, x:y] == q[z, None]] = 255
-            i, j = np.nonzero(first <= min(limit, 254))
-            apart = first[i, j].astype(np.int64)
+            first = first.reshape(-1)
+            at = np.flatnonzero(first <= min(limit, 254))
+            i, j = np.divmod(at, y - x)
+            apart = first[at].astype(np.int64)
             for mine, theirs in zip(sketch[2:], held_by[2:]):
                 apart += np.bitwise_count(mine[rows[i]] ^ theirs[x + j])
             close = apart <= limit
