@@ -49,24 +49,29 @@ MIN_WORDS = 4
 HELD = 1_000_000
 
 
+class Hashes(dict):
+    """Token to hash, each worked out once: 0 for a word without content, 1 for the end of a sentence."""
+
+    def __init__(self, common: frozenset[str]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        if token[0] in ".!?":
+            got = 1
+        else:
+            got = 0 if len(token) <= 2 or token in self.common else xxhash.xxh64_intdigest(token) | 2
+        self[token] = got
+        return got
+
+
 class Reader:
     """Texts to phrases: pairs of neighbouring content words of a sentence and single ones, as hashes; function words between them are skipped."""
 
     def __init__(self, common: frozenset[str]):
-        self.common, self.seen = common, {}
-
-    def _hash(self, token: str) -> int:
-        """0 for a word without content, 1 for the end of a sentence."""
-        got = self.seen.get(token)
-        if got is None:
-            if len(self.seen) > 400_000:
-                self.seen.clear()
-            if token[0] in ".!?":
-                got = 1
-            else:
-                got = 0 if len(token) <= 2 or token in self.common else xxhash.xxh64_intdigest(token) | 2
-            self.seen[token] = got
-        return got
+        self.hashes = Hashes(common)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a batch: phrase, its text, its sentence (numbered through the batch), and the sentences of each text that have enough words."""
@@ -76,7 +81,7 @@ class Reader:
                 t = CUT.sub("", HEAD.sub("", t))
             else:
                 t = HEAD.sub("", t)
-            h = [self._hash(x) for x in TOKEN.findall(t.lower())]
+            h = list(map(self.hashes.__getitem__, TOKEN.findall(t.lower())))
             flat += h
             flat.append(1)
             owner.append(len(h) + 1)
