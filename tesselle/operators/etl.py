@@ -47,10 +47,11 @@ def chunk_articles(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row_no, cell_no, cell) of tables written with HTML rows or with bars; rule lines are no rows."""
-    html = docs.where(F.col(text).contains("<tr>")).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<tr>(.*?)</tr>"), 1)).alias("row_no", "r"))
-    html = html.select(key, "row_no", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?s)<td>(.*?)</td>"), 1)).alias("cell_no", "cell"))
-    bars = docs.where(F.col(text).startswith("|")).select(key, F.posexplode(F.filter(F.split(text, "\n"), lambda x: x.startswith("|") & ~x.rlike(r"^[|: -]+$"))).alias("row_no", "r"))
-    bars = bars.select(key, "row_no", F.posexplode(F.split(F.regexp_replace("r", r"^\||\|$", ""), r"\|")).alias("cell_no", "cell"))
+    html = docs.where(F.lower(text).contains("<tr")).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("row_no", "r"))
+    html = html.select(key, "row_no", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1)).alias("cell_no", "cell"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.startswith(F.trim(x), F.lit("|")) & ~x.rlike(r"^[|: -]+$"))
+    bars = docs.where(F.col(text).contains("|") & ~F.lower(text).contains("<tr")).select(key, F.posexplode(lines).alias("row_no", "r"))
+    bars = bars.select(key, "row_no", F.posexplode(F.split(F.regexp_replace(F.trim("r"), r"^\||\|$", ""), r"\|")).alias("cell_no", "cell"))
     return html.union(bars).select(key, "row_no", "cell_no", F.trim("cell").alias("cell"))
 
 

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselle.operators import ordered
+from tesselle.session import cut
+
 
 def gold_ranks(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     """(question, rank): the best rank of a gold item, null if absent; every gold question has a row."""
@@ -50,3 +53,20 @@ def bootstrap(values: DataFrame, column: str, resamples: int = 2000, seed: int =
     means = sums.select("k", (F.col("t") / F.col("n")).alias("m"))
     got = means.agg(F.max(F.when(F.col("k") < 0, F.col("m"))).alias("mean"), F.expr("percentile(case when k >= 0 then m end, 0.025)").alias("low"), F.expr("percentile(case when k >= 0 then m end, 0.975)").alias("high"))
     return got.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "low", "high")])
+
+
+def values_at(rows: DataFrame, group: str, value: str, ranks: dict[str, str]) -> DataFrame:
+    """(group, name...): the values at given places (from 0, expressions over the group's number of rows n) of each group's sorted values.
+
+    Equal values are counted before anything is shuffled, and the counts are added up by ranges of the values, so a group with a third of
+    all rows is neither sorted nor buffered in one task. Nulls take no part; a null group is one."""
+    c = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    order = [F.col(value).asc()]
+    x = ordered.ranged(c, group, order)
+    base = ordered.carried_sum(x, group, before=F.sum("k"))
+    upto = F.sum("k").over(ordered.within(group, order))
+    x = x.withColumn("upto", upto).join(base, [group, ordered.PART], "left").withColumn("upto", F.col("upto") + F.coalesce("before", F.lit(0)))
+    x = cut(x.select(group, value, "k", "upto"))
+    n = x.groupBy(group).agg(F.max("upto").alias("n"))
+    at = x.join(F.broadcast(n) if n.limit(100_001).count() <= 100_000 else n, group)
+    return at.groupBy(group).agg(*(F.max(F.when(F.expr(f"{e} >= upto - k and {e} < upto"), F.col(value))).alias(name) for name, e in ranks.items()))

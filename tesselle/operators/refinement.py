@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselle.operators import ordered
+from tesselle.session import cut
+
 
 def law_filter(laws: DataFrame, language: str | None = None, status: str | None = None, category_ids: list[int] | None = None, types: list[str] | None = None, years: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """All given conditions at once; a null date never passes a bound on the year."""
@@ -59,13 +62,28 @@ def first_pass(passes: list[DataFrame]) -> DataFrame:
 
 
 def islands(pieces: DataFrame) -> DataFrame:
-    """Runs of consecutive pieces of one kind within a law."""
-    w = Window.partitionBy("law_id").orderBy("order_no", "id")
-    new = F.lag("order_no").over(w).isNull() | (F.col("order_no") != F.lag("order_no").over(w) + 1) | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
-    x = pieces.withColumn("b", new.cast("int")).withColumn("island", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of consecutive pieces of one kind within a law; a long law is cut into ranges."""
+    order = [F.col("order_no").asc(), F.col("id").asc()]
+    x = ordered.ranged(pieces, "law_id", order)
+    last = ordered.carried(x, "law_id", p=F.max_by(F.struct("order_no", "kind"), F.struct("order_no", "id")))
+    w = ordered.within("law_id", order)
+    x = x.join(last, ["law_id", ordered.PART], "left").withColumn("p", F.coalesce(F.lag(F.struct("order_no", "kind")).over(w), "p"))
+    x = x.withColumn("b", (F.col("p").isNull() | (F.col("order_no") != F.col("p.order_no") + 1) | ~F.col("kind").eqNullSafe(F.col("p.kind"))).cast("int"))
+    x = cut(x.drop("p"))
+    base = ordered.carried_sum(x, "law_id", b0=F.sum("b"))
+    run = F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("run", run).join(base, ["law_id", ordered.PART], "left").withColumn("island", F.col("run") + F.coalesce("b0", F.lit(0)))
     return x.groupBy("law_id", "island").agg(F.min("order_no").alias("first_no"), F.max("order_no").alias("last_no"), F.count("*").alias("pieces"))
 
 
+def places(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their place in a total order of the whole table, counted by ranges."""
+    x = ordered.ranged(rows.withColumn("_all", F.lit(1)), "_all", order)
+    base = ordered.carried_sum(x, "_all", before=F.count("*"))
+    x = x.withColumn(name, F.row_number().over(ordered.within("_all", order))).join(base, ["_all", ordered.PART], "left")
+    return x.withColumn(name, F.col(name) + F.coalesce("before", F.lit(0))).drop("_all", ordered.PART, "before")
+
+
 def page_ranges(pages: DataFrame, most: int) -> DataFrame:
     """Contiguous page ranges of at most ``most`` pages."""
     p = pages.where("page is not null").distinct()

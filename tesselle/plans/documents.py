@@ -10,7 +10,7 @@ from tesselle.operators import components, etl, evaluation, relations
 from tesselle.operators import search as S
 from tesselle.plans.analytics import A, L, M
 from tesselle.plans.retrieval import cos, words
-from tesselle.session import table
+from tesselle.session import broadcast_if_small, table
 from tesselle.sources import tables as T
 from tesselle.streaming import windows as W
 
@@ -53,10 +53,10 @@ def dedupe_content_hash(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("hash").agg(F.min("id").alias("kept"), F.count("*").alias("copies"))
 
 
-@q(f"""WITH r AS (SELECT id, unnest(p) AS r, generate_subscripts(p, 1) - 1 AS row_no FROM (SELECT id, regexp_extract_all(content, '(?s)<tr>(.*?)</tr>', 1) AS p FROM {A} WHERE contains(content, '<tr>'))
-UNION ALL SELECT id, unnest(p), generate_subscripts(p, 1) - 1 FROM (SELECT id, list_filter(string_split(content, e'\\n'), lambda x: starts_with(x, '|') AND NOT regexp_matches(x, '^[|: -]+$')) AS p FROM {A} WHERE starts_with(content, '|')))
+@q(f"""WITH r AS (SELECT id, unnest(p) AS r, generate_subscripts(p, 1) - 1 AS row_no, true AS html FROM (SELECT id, regexp_extract_all(content, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1) AS p FROM {A} WHERE contains(lower(content), '<tr'))
+UNION ALL SELECT id, unnest(p), generate_subscripts(p, 1) - 1, false FROM (SELECT id, list_filter(string_split(content, e'\\n'), lambda x: starts_with(trim(x, ' '), '|') AND NOT regexp_matches(x, '^[|: -]+$')) AS p FROM {A} WHERE contains(content, '|') AND NOT contains(lower(content), '<tr')))
 SELECT id, CAST(row_no AS INTEGER) AS row_no, CAST(k - 1 AS INTEGER) AS cell_no, trim(c, ' ') AS cell FROM (SELECT id, row_no, unnest(cells) AS c, generate_subscripts(cells, 1) AS k FROM
- (SELECT id, row_no, CASE WHEN contains(r, '<td>') THEN regexp_extract_all(r, '(?s)<td>(.*?)</td>', 1) ELSE string_split(regexp_replace(r, '^\\||\\|$', '', 'g'), '|') END AS cells FROM r))""")
+ (SELECT id, row_no, CASE WHEN html THEN regexp_extract_all(r, '(?is)<td\\b[^>]*>(.*?)</td>', 1) ELSE string_split(regexp_replace(trim(r, ' '), '^\\||\\|$', '', 'g'), '|') END AS cells FROM r))""")
 def table_cells(s: SparkSession, d: str) -> DataFrame:
     return etl.table_cells(T.articles(s, d, "content"), "id", "content")
 
@@ -79,7 +79,7 @@ def embed_text_builder(s: SparkSession, d: str) -> DataFrame:
 @q("SELECT d.doc_id, w.lang, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-zà-ÿ]+)', 1)) AS word FROM documents) d JOIN common_words w ON w.word = d.word GROUP BY 1, 2")
 def language_lookup_join(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)"), 1)).alias("word"))
-    return x.join(F.broadcast(table(s, d, "common_words")), "word").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
+    return x.join(broadcast_if_small(table(s, d, "common_words"), 100_000), "word").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
 
 
 # ---- relations between texts: laws of one category as dated links, the kind by their order
@@ -109,9 +109,17 @@ def status_summary_per_text(s: SparkSession, d: str) -> DataFrame:
     return relations.status_summary(_links(s, d), ["repeals"])
 
 
-@q(f"SELECT DISTINCT id, CAST(m AS INTEGER) AS number FROM (SELECT id, unnest(regexp_extract_all(content, '(?i)articles? ([0-9]+)', 1)) AS m FROM {L})")
+_RANGED = f"(SELECT id, content FROM {L} UNION ALL SELECT -id, 'Voir articles ' || (id % 50) || ' à ' || (id % 50 + id % 7) || ', article ' || id || ' et articles 9 to 3.' FROM {L})"
+_M = lambda k: f"CAST(nullif(regexp_extract(m, '{k}', 1), '') AS INTEGER)"
+
+
+@q(f"SELECT DISTINCT id, CAST(unnest(range(lo, greatest(lo, least(hi, lo + 30)) + 1)) AS INTEGER) AS number FROM (SELECT id, {_M('^([0-9]+)')} AS lo, coalesce({_M('([0-9]+)$')}, {_M('^([0-9]+)')}) AS hi FROM (SELECT id, unnest(regexp_extract_all(content, '(?i)articles? ([0-9]+(?: (?:à|to) [0-9]+)?)', 1)) AS m FROM {_RANGED}))")
 def article_mentions(s: SparkSession, d: str) -> DataFrame:
-    return etl.mentions(T.laws(s, d, "content"), "id", "content")
+    """Articles that texts mention, ranges unfolded; every law is joined by a sentence with ranges, forward and backward."""
+    x = T.laws(s, d, "content").select("id", "content")
+    n = F.col("id")
+    more = x.select((-n).alias("id"), F.concat(F.lit("Voir articles "), (n % 50).cast("string"), F.lit(" à "), (n % 50 + n % 7).cast("string"), F.lit(", article "), n.cast("string"), F.lit(" et articles 9 to 3.")).alias("content"))
+    return etl.mentions(x.union(more), "id", "content")
 
 
 @q(f"SELECT m.id AS message_id, CAST(json_extract(m.sources, '$[0].law_id') AS INTEGER) AS law_id, json_extract_string(m.sources, '$[0].article_number') AS number, min(a.id) AS article_id FROM {M} m LEFT JOIN {A} a ON a.law_id = CAST(json_extract(m.sources, '$[0].law_id') AS INTEGER) AND a.number = json_extract_string(m.sources, '$[0].article_number') WHERE json_valid(m.sources) AND json_array_length(m.sources) > 0 GROUP BY 1, 2, 3")
@@ -182,9 +190,9 @@ def confusion_matrix(s: SparkSession, d: str) -> DataFrame:
 @q("SELECT event_type, list_sort(list(value))[CAST(least(count(*) - 1, CAST(floor(0.9 * count(*)) AS BIGINT)) + 1 AS BIGINT)] AS p90, max(value) AS longest FROM events GROUP BY 1")
 def p90_by_index(s: SparkSession, d: str) -> DataFrame:
     """The value at place min(n - 1, int(0.9 n)) of the sorted ones, by rank instead of a collected list."""
-    w = Window.partitionBy("event_type")
-    x = table(s, d, "events").withColumn("r", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    return x.groupBy("event_type").agg(F.max(F.when(F.expr("r = least(n - 1, cast(floor(0.9 * n) as bigint))"), F.col("value"))).alias("p90"), F.max("value").alias("longest"))
+    e = table(s, d, "events")
+    at = evaluation.values_at(e, "event_type", "value", {"p90": "least(n - 1, cast(floor(0.9 * n) as bigint))"})
+    return e.groupBy("event_type").agg(F.max("value").alias("longest")).join(at, "event_type").select("event_type", "p90", "longest")
 
 
 # ---- streams, run over all that is available

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselle.functions import text
+from tesselle.operators import evaluation, ordered
 from tesselle.operators import refinement as R
 from tesselle.plans.analytics import A, C, L, M, ROLE
 from tesselle.plans.retrieval import fold, words
@@ -60,10 +61,10 @@ def cache_ttl_purge(s: SparkSession, d: str) -> DataFrame:
     return e.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where("ts + interval 20 days <= now").groupBy("event_type").agg(F.count("*").alias("purged"))
 
 
-@q("SELECT event_id, kept FROM (SELECT event_id, sum(value) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) <= 500 AS kept FROM events WHERE user_id = 7)")
+@q("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) <= 500 AS kept FROM events")
 def lru_eviction_by_size(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return table(s, d, "events").where("user_id = 7").select("event_id", (F.sum("value").over(w) <= 500).alias("kept"))
+    return table(s, d, "events").select("event_id", (F.sum("value").over(w) <= 500).alias("kept"))
 
 
 @q(f"SELECT l.name, c.id IS NULL AS inserted FROM (VALUES ('justice pénale'), ('pêche'), ('santé et hygiène')) l(name) LEFT JOIN categories c ON lower(c.name) = l.name")
@@ -98,16 +99,21 @@ def reference_to_id_lookup(s: SparkSession, d: str) -> DataFrame:
 
 @q(f"SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM {A} WHERE content IS NOT NULL AND law_id IS NOT NULL WINDOW w AS (PARTITION BY law_id ORDER BY order_no NULLS LAST, id)")
 def previous_next_article(s: SparkSession, d: str) -> DataFrame:
-    x = T.once(table(s, d, "articles").where("content is not null and law_id is not null").select("id", "law_id", "order_no"))
-    w = Window.partitionBy("law_id").orderBy(F.asc_nulls_last("order_no"), "id")
-    return x.select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    order = [F.asc_nulls_last("order_no"), F.asc("id")]
+    x = ordered.ranged(T.once(table(s, d, "articles").where("content is not null and law_id is not null").select("id", "law_id", "order_no")), "law_id", order)
+    place = F.struct(F.col("order_no").isNull(), "order_no", "id")
+    last, first = ordered.carried(x, "law_id", b=F.max_by("id", place)), ordered.carried_back(x, "law_id", a=F.min_by("id", place))
+    w, at = ordered.within("law_id", order), ["law_id", ordered.PART]
+    return x.join(last, at, "left").join(first, at, "left").select("id", F.coalesce(F.lag("id").over(w), "b").alias("before"), F.coalesce(F.lead("id").over(w), "a").alias("after"))
 
 
 @q(f"SELECT id, section, last_value(section IGNORE NULLS) OVER (PARTITION BY law_id ORDER BY order_no NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS running FROM {A}")
 def running_section(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("law_id").orderBy(F.asc_nulls_last("order_no"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    x = T.articles(s, d, "law_id", "order_no", "section")
-    return x.select("id", "section", F.last("section", ignorenulls=True).over(w).alias("running"))
+    order = [F.asc_nulls_last("order_no"), F.asc("id")]
+    x = ordered.ranged(T.articles(s, d, "law_id", "order_no", "section"), "law_id", order)
+    latest = ordered.carried_forward(x, "law_id", had=F.max_by("section", F.when(F.col("section").isNotNull(), F.struct(F.col("order_no").isNull(), "order_no", "id"))))
+    w = ordered.within("law_id", order).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(latest, ["law_id", ordered.PART], "left").select("id", "section", F.coalesce(F.last("section", ignorenulls=True).over(w), "had").alias("running"))
 
 
 @q(f"SELECT id, CAST(nullif(regexp_extract(reference, '^LOI-[0-9]{{4}}-([0-9]+)$', 1), '') AS BIGINT) AS act_no FROM {L} ORDER BY publication_date DESC NULLS LAST, act_no DESC NULLS LAST, id LIMIT 50")
@@ -122,11 +128,12 @@ def homonymous_articles(s: SparkSession, d: str) -> DataFrame:
     return T.articles(s, d, "law_id", "number").where("number is not null").groupBy("law_id", "number").agg(F.count("*").alias("homonyms"), F.min("id").alias("first_id")).where("homonyms > 1")
 
 
-@q(f"SELECT a.id, b.id AS target FROM {A} a JOIN {A} b ON a.law_id = b.law_id AND b.number = nullif(regexp_extract(a.content, '(?:l''article|section) ([0-9]+)', 1), '') AND a.id <> b.id")
+@q(f"SELECT DISTINCT a.id, b.id AS target FROM (SELECT id, law_id, unnest(regexp_extract_all(content, '(?:l''article|section) ([0-9]+)', 1)) AS number FROM {A}) a JOIN {A} b ON a.law_id = b.law_id AND b.number = a.number AND a.id <> b.id")
 def follow_references(s: SparkSession, d: str) -> DataFrame:
-    a = T.articles(s, d, "law_id", "content").select("id", "law_id", F.nullif(F.regexp_extract("content", r"(?:l'article|section) ([0-9]+)", 1), F.lit("")).alias("number")).where("number is not null")
+    """Every reference of every article to an article of its law."""
+    a = T.articles(s, d, "law_id", "content").select("id", "law_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?:l'article|section) ([0-9]+)"), 1)).alias("number")).distinct()
     b = T.articles(s, d, "law_id", "number").withColumnRenamed("id", "target")
-    return a.join(b, ["law_id", "number"]).where("id <> target").select("id", "target")
+    return a.join(b, ["law_id", "number"]).where("id <> target").select("id", "target").distinct()
 
 
 # ---- conversations
@@ -167,11 +174,15 @@ def answer_confidence(s: SparkSession, d: str) -> DataFrame:
     return T.messages(s, d, "role", "content").where("lower(trim(role)) = 'assistant' and content is not null").select("id", (cites + band).alias("score"))
 
 
-@q(f"SELECT m.id, count(a.law_id) > 0 AS held FROM {M} m LEFT JOIN (SELECT DISTINCT law_id, number FROM articles) a ON a.law_id = CAST(json_extract(m.sources, '$[0].law_id') AS INTEGER) AND a.number = json_extract_string(m.sources, '$[0].article_number') WHERE json_valid(m.sources) AND json_array_length(m.sources) > 0 GROUP BY m.id")
+_SRC = f"(SELECT id, CAST(json_extract(j, '$.law_id') AS INTEGER) AS law_id, json_extract_string(j, '$.article_number') AS number FROM (SELECT id, unnest(json_extract(sources, '$[*]')) AS j FROM {M} WHERE sources IS NOT NULL AND json_valid(sources)))"
+
+
+@q(f"SELECT m.id, count(*) AS cited, count(a.law_id) AS held FROM {_SRC} m LEFT JOIN (SELECT DISTINCT law_id, number FROM articles) a ON a.law_id = m.law_id AND a.number = m.number GROUP BY m.id")
 def verified_citations(s: SparkSession, d: str) -> DataFrame:
-    m = T.messages(s, d, "sources").select("id", F.get_json_object("sources", "$[0].law_id").cast("int").alias("law_id"), F.get_json_object("sources", "$[0].article_number").alias("number")).where("law_id is not null")
+    """How many of a message's citations the corpus holds."""
+    m = T.messages(s, d, "sources").where("sources is not null").select("id", F.explode(F.from_json("sources", "array<struct<law_id:int,article_number:string>>")).alias("r")).select("id", "r.law_id", F.col("r.article_number").alias("number"))
     a = table(s, d, "articles").select("law_id", "number", F.lit(True).alias("held")).distinct()
-    return m.join(a, ["law_id", "number"], "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+    return m.join(a, ["law_id", "number"], "left").groupBy("id").agg(F.count("*").alias("cited"), F.count("held").alias("held"))
 
 
 # ---- texts
@@ -274,7 +285,11 @@ def threshold_sweep(s: SparkSession, d: str) -> DataFrame:
 
 @q("SELECT event_type, median(value) AS median, round(stddev_samp(value), 7) AS spread, min(value) AS low, max(value) AS high, round(avg(value), 7) AS mean FROM events GROUP BY 1")
 def latency_summary(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.round(F.stddev_samp("value"), 7).alias("spread"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 7).alias("mean"))
+    """The median by rank over counted values, so no buffer holds a type's values."""
+    e = table(s, d, "events")
+    mid = evaluation.values_at(e, "event_type", "value", {"lo": "cast(floor((n - 1) / 2) as bigint)", "hi": "cast(floor(n / 2) as bigint)"})
+    g = e.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 7).alias("spread"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 7).alias("mean"))
+    return g.join(mid, "event_type").select("event_type", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "spread", "low", "high", "mean")
 
 
 @q("SELECT user_id, event_id, CAST((SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts - INTERVAL 1 HOUR AND (b.ts < a.ts OR b.ts = a.ts)) AS BIGINT) AS last_hour FROM events a")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tesselle.functions import text
 from tesselle.operators import refinement as R
 from tesselle.plans.analytics import A, C, L, M, V
-from tesselle.session import table
+from tesselle.operators import ordered
+from tesselle.session import bounded, broadcast_if_small, table
 from tesselle.sources import tables as T
 
 Q: dict = {}
@@ -51,9 +52,10 @@ def correlated_count_children(s: SparkSession, d: str) -> DataFrame:
     return T.laws(s, d).join(n, F.col("id") == F.col("law"), "left").select("id", F.coalesce("n", F.lit(0)).alias("articles"))
 
 
-@q(f"SELECT l.language, c.persona, count(*) AS cited FROM {M} m JOIN {C} c ON c.id = m.conversation_id JOIN {L} l ON l.id = CAST(json_extract(m.sources, '$[0].law_id') AS INTEGER) WHERE json_valid(m.sources) GROUP BY 1, 2")
+@q(f"SELECT l.language, c.persona, count(*) AS cited FROM (SELECT conversation_id, CAST(json_extract(unnest(json_extract(sources, '$[*]')), '$.law_id') AS INTEGER) AS law_id FROM {M} WHERE sources IS NOT NULL AND json_valid(sources)) m JOIN {C} c ON c.id = m.conversation_id JOIN {L} l ON l.id = m.law_id GROUP BY 1, 2")
 def three_way_source_join(s: SparkSession, d: str) -> DataFrame:
-    m = T.messages(s, d, "conversation_id", "sources").select("conversation_id", F.get_json_object("sources", "$[0].law_id").cast("int").alias("law_id")).where("law_id is not null")
+    """Every source of every message, joined with its conversation and its law."""
+    m = T.messages(s, d, "conversation_id", "sources").where("sources is not null").select("conversation_id", F.explode(F.from_json("sources", "array<struct<law_id:int>>")["law_id"]).alias("law_id"))
     x = m.join(T.conversations(s, d, "persona").withColumnRenamed("id", "conversation_id"), "conversation_id").join(T.laws(s, d, "language").withColumnRenamed("id", "law_id"), "law_id")
     return x.groupBy("language", "persona").agg(F.count("*").alias("cited"))
 
@@ -112,16 +114,23 @@ def canonical_per_hash(s: SparkSession, d: str) -> DataFrame:
 
 @q(f"""SELECT id, array_to_string(list_distinct_ordered, ',') AS kept FROM (SELECT id, (SELECT list(x ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest(suggested_categories) AS x, generate_subscripts(suggested_categories, 1) AS k) WHERE x IN (SELECT id FROM categories) GROUP BY x)) AS list_distinct_ordered FROM {L} WHERE suggested_categories IS NOT NULL)""")
 def array_cleanup_ordered(s: SparkSession, d: str) -> DataFrame:
-    valid = table(s, d, "categories").agg(F.collect_set("id").alias("valid"))  # one small row
-    x = T.laws(s, d, "suggested_categories").where("suggested_categories is not null").join(F.broadcast(valid))
-    kept = F.array_distinct(F.filter("suggested_categories", lambda c: F.array_contains("valid", c)))
+    valid = [r["id"] for r in bounded(table(s, d, "categories").select("id").where("id is not null").distinct(), 10_000, "categories")]
+    x = T.laws(s, d, "suggested_categories").where("suggested_categories is not null")
+    kept = F.array_distinct(F.filter("suggested_categories", lambda c: c.isin(valid)))
     return x.select("id", F.nullif(F.array_join(kept, ","), F.lit("")).alias("kept"))
 
 
-@q(f"SELECT id, CASE WHEN category_id = 13 THEN 1 ELSE category_id END AS category_id, array_to_string(list_transform(suggested_categories, lambda c: CASE WHEN c = 13 THEN 1 ELSE c END), ',') AS suggestions FROM {L}")
+_MOVE = "(SELECT a.id AS source, b.id AS target FROM categories a JOIN categories b ON a.name = 'Textes divers' AND b.display_order = (SELECT min(display_order) FROM categories))"
+
+
+@q(f"SELECT id, CASE WHEN category_id = m.source THEN m.target ELSE category_id END AS category_id, array_to_string(list_transform(suggested_categories, lambda c: CASE WHEN c = m.source THEN m.target ELSE c END), ',') AS suggestions FROM {L} l LEFT JOIN {_MOVE} m ON true")
 def update_from_join_replace(s: SparkSession, d: str) -> DataFrame:
-    x = T.laws(s, d, "category_id", "suggested_categories")
-    swap = lambda c: F.when(c == 13, 1).otherwise(c)
+    """One category's laws and suggestions given to another; both are looked up in the table of categories."""
+    c = table(s, d, "categories")
+    first = c.agg(F.min("display_order").alias("o"))
+    source, target = c.where("name = 'Textes divers'").select(F.col("id").alias("source")), c.join(F.broadcast(first), F.col("display_order") == F.col("o")).select(F.col("id").alias("target"))
+    x = T.laws(s, d, "category_id", "suggested_categories").join(F.broadcast(source.join(target)), how="left")  # one row
+    swap = lambda c: F.when(c == F.col("source"), F.col("target")).otherwise(c)
     return x.select("id", swap(F.col("category_id")).alias("category_id"), F.array_join(F.transform("suggested_categories", swap), ",").alias("suggestions"))
 
 
@@ -135,7 +144,7 @@ def stratified_counts(s: SparkSession, d: str) -> DataFrame:
 
 @q(f"""SELECT count(*) FILTER (c.id IS NULL AND l.category_id IS NOT NULL) AS dangling, count(*) FILTER (l.category_id IS NULL) AS unset, count(*) AS laws FROM {L} l LEFT JOIN categories c ON c.id = l.category_id""")
 def referential_integrity(s: SparkSession, d: str) -> DataFrame:
-    x = T.laws(s, d, "category_id").join(F.broadcast(table(s, d, "categories").select(F.col("id").alias("cid"))), F.col("category_id") == F.col("cid"), "left")
+    x = T.laws(s, d, "category_id").join(broadcast_if_small(table(s, d, "categories").select(F.col("id").alias("cid")), 10_000), F.col("category_id") == F.col("cid"), "left")
     return x.agg(F.count_if(F.expr("cid is null and category_id is not null")).alias("dangling"), F.count_if(F.col("category_id").isNull()).alias("unset"), F.count("*").alias("laws"))
 
 
@@ -171,9 +180,12 @@ def facets_disjunctive_year(s: SparkSession, d: str) -> DataFrame:
     return _facet(s, d, "year")
 
 
-@q(f"SELECT id, publication_date, row_number() OVER (ORDER BY publication_date ASC NULLS LAST, id) AS pos FROM {L} ORDER BY pos LIMIT 200")
+@q(f"SELECT id, row_number() OVER (ORDER BY publication_date ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY publication_date DESC NULLS LAST, id) AS down FROM {L}")
 def date_sort_nulls_last(s: SparkSession, d: str) -> DataFrame:
-    return R.positions(T.laws(s, d, "publication_date"), [F.asc_nulls_last("publication_date"), F.asc("id")], 200)
+    """The place of every law in both orders; places are counted by ranges, no task sorts the whole table."""
+    x = T.laws(s, d, "publication_date")
+    up = R.places(x, [F.asc_nulls_last("publication_date"), F.asc("id")], "up")
+    return R.places(up, [F.desc_nulls_last("publication_date"), F.asc("id")], "down").select("id", "up", "down")
 
 
 @q(f"SELECT id, CAST(json_array_length(sources) AS INTEGER) AS n FROM {M} WHERE sources IS NOT NULL AND json_valid(sources) AND json_type(sources) = 'ARRAY'")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselle.functions import text, vectors
+from tesselle.operators import ordered
 from tesselle.operators import refinement as R
 from tesselle.operators import search as S
 from tesselle.operators import text_index
@@ -276,9 +277,12 @@ def similarity_barrier(s: SparkSession, d: str) -> DataFrame:
 @q(f"SELECT law_id, id FROM (SELECT law_id, id, sum(least(length(content), 6000)) OVER (PARTITION BY law_id ORDER BY order_no NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY law_id ORDER BY order_no NULLS LAST, id) AS r FROM {A} WHERE content IS NOT NULL) WHERE used <= 2400 OR r = 1")
 def context_budget_packing(s: SparkSession, d: str) -> DataFrame:
     a = T.once(table(s, d, "articles").where("content is not null").select("id", "law_id", "order_no", F.least(F.length("content"), F.lit(6000)).alias("n")))
-    w = Window.partitionBy("law_id").orderBy(F.asc_nulls_last("order_no"), "id")
-    x = a.withColumn("used", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(w))
-    return x.where("used <= 2400 or r = 1").select("law_id", "id")
+    order = [F.asc_nulls_last("order_no"), F.asc("id")]
+    x = ordered.ranged(a, "law_id", order)
+    w = ordered.within("law_id", order)
+    base = ordered.carried_sum(x, "law_id", used0=F.sum("n"))
+    x = x.withColumn("used", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(w)).join(base, ["law_id", ordered.PART], "left")
+    return x.where("used + coalesce(used0, 0) <= 2400 or r = 1 and used0 is null").select("law_id", "id")
 
 
 _LEX = f"(1.0 * len(list_filter({words('title')}, lambda w: list_contains(['pension', 'retraite'], w))) + 0.4 * (CASE WHEN contains({fold('content')}, 'pension de retraite') THEN 1 ELSE 0 END) - (CASE WHEN length(content) < 80 THEN 0.1 ELSE 0 END))"
@@ -295,12 +299,33 @@ def rerank_lexical_features(s: SparkSession, d: str) -> DataFrame:
 _SH = "CASE WHEN len({w}) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len({w}) - 1), lambda i: array_to_string(list_slice({w}, i, i + 2), ' '))) END"
 
 
-@q(f"SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM (SELECT id, category_id, {_SH.format(w=words('title'))} AS s FROM {L}) a JOIN (SELECT id, category_id, {_SH.format(w=words('title'))} AS s FROM {L}) b ON a.category_id = b.category_id AND a.id < b.id WHERE len(list_intersect(a.s, b.s)) > 0 AND len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) >= 0.5")
+_CLS = f"(SELECT category_id, array_to_string(list_sort(s), '|') AS key, min(id) AS id, any_value(s) AS s, count(*) AS members FROM (SELECT id, category_id, {_SH.format(w=words('title'))} AS s FROM {L} WHERE category_id IS NOT NULL) WHERE len(s) > 0 GROUP BY 1, 2)"
+
+
+def _title_classes(s: SparkSession, d: str) -> DataFrame:
+    x = T.laws(s, d, "title", "category_id").where("category_id is not null").select("id", "category_id", text.word_shingles(F.col("title")).alias("s")).where("size(s) > 0")
+    return x.withColumn("key", F.array_join(F.array_sort("s"), "|"))
+
+
+@q(f"SELECT x.id, c.id AS class_id, c.members FROM (SELECT id, category_id, array_to_string(list_sort({_SH.format(w=words('title'))}), '|') AS key FROM {L} WHERE category_id IS NOT NULL) x JOIN {_CLS} c ON c.category_id = x.category_id AND c.key = x.key")
+def title_classes(s: SparkSession, d: str) -> DataFrame:
+    """The class of every title among those of its category with the same word trigrams: the smallest id, and the number of members."""
+    x = _title_classes(s, d)
+    g = x.groupBy("category_id", "key").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    return x.join(g, ["category_id", "key"]).select("id", "class_id", "members")
+
+
+@q(f"SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM {_CLS} a JOIN {_CLS} b ON a.category_id = b.category_id AND a.id < b.id WHERE len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) >= 0.5")
 def word_trigram_jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Titles of one category alike by word trigrams; candidates share a trigram, so no pair is made without one."""
-    x = T.laws(s, d, "title", "category_id").where("category_id is not null").select("id", "category_id", text.word_shingles(F.col("title")).alias("s"))
-    g = x.select("id", "category_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    a, b = g.alias("a"), g.alias("b")
-    both = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.category_id") == F.col("b.category_id")) & (F.col("a.id") < F.col("b.id")))
-    c = both.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("o"))
-    return c.withColumn("j", F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).where("j >= 0.5").select("id_a", "id_b", F.round("j", 6).alias("jaccard"))
+    """Classes of titles of one category (``title_classes``) alike by word trigrams: pairs of their first members. Titles meet only on one of the
+    n - ceil(n / 2) + 1 rarest trigrams of each, within a factor of two in size, and are then compared whole."""
+    t = _title_classes(s, d).groupBy("category_id", "key").agg(F.min("id").alias("id"), F.first("s").alias("s"))
+    g = t.select("category_id", "id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    df = g.groupBy("category_id", "g").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("id").orderBy("df", "g")
+    p = g.join(df, ["category_id", "g"]).withColumn("r", F.row_number().over(w)).where("r <= n - ceil(n / 2) + 1").select("category_id", "g", F.col("id").alias("id_a"), "n")
+    b = p.withColumnsRenamed({"id_a": "id_b", "n": "m"})
+    c = p.join(b, ["category_id", "g"]).where("id_a < id_b and m <= 2 * n and n <= 2 * m").select("id_a", "id_b").distinct()
+    sets = t.select("id", "s")
+    both = c.join(sets.withColumnsRenamed({"id": "id_a", "s": "x"}), "id_a").join(sets.withColumnsRenamed({"id": "id_b", "s": "y"}), "id_b")
+    return both.select("id_a", "id_b", text.jaccard(F.col("x"), F.col("y")).alias("j")).where("j >= 0.5").select("id_a", "id_b", F.round("j", 6).alias("jaccard"))
