@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselle.operators import evaluation
 from tesselle.session import table
 from tesselle.sources import tables as T
 
@@ -58,7 +59,8 @@ def search_modes_usage(s: SparkSession, d: str) -> DataFrame:
 @q("SELECT event_type AS mode, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events WHERE event_type <> 'view' GROUP BY event_type")
 def search_latency_percentiles(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").where("event_type <> 'view'")
-    return e.groupBy(F.col("event_type").alias("mode")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("longest"))
+    at = evaluation.values_at(e, "event_type", "value", {"p50": "cast(ceil(0.5 * n) as bigint) - 1", "p95": "cast(ceil(0.95 * n) as bigint) - 1"})
+    return e.groupBy("event_type").agg(F.max("value").alias("longest")).join(at, "event_type").select(F.col("event_type").alias("mode"), "p50", "p95", "longest")
 
 
 @q("SELECT CAST(ts AS DATE) AS day, round(count(*) FILTER (event_type = 'view') * 100.0 / count(*), 4) AS hit_percent FROM events GROUP BY 1")

@@ -200,26 +200,28 @@ def p90_by_index(s: SparkSession, d: str) -> DataFrame:
 
 @q("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def tumbling_window_counts(s: SparkSession, d: str) -> DataFrame:
-    out = W.run_available(W.tumbling_of(W.read_events(s, f"{d}/events.parquet")), "complete")
+    out = W.run_available(W.tumbling_of(W.read_closed(s, f"{d}/events.parquet")))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @q("SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') >= 3 AND count(*) FILTER (event_type = 'error') >= 0.3 * count(*) AS degraded FROM (SELECT event_type, unnest(list_transform(range(0, 6), lambda i: date_trunc('hour', ts) - to_hours(CAST(i AS INTEGER)))) AS start FROM events) GROUP BY 1")
 def sliding_window_failure_rate(s: SparkSession, d: str) -> DataFrame:
-    out = W.run_available(W.sliding_failures_of(W.read_events(s, f"{d}/events.parquet")), "complete")
+    out = W.run_available(W.sliding_failures_of(W.read_closed(s, f"{d}/events.parquet")))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @q("""WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM y GROUP BY user_id, k""")
 def session_window_sessions(s: SparkSession, d: str) -> DataFrame:
-    out = W.run_available(W.sessions_of(W.read_events(s, f"{d}/events.parquet")), "complete")
+    out = W.run_available(W.sessions_of(W.read_closed(s, f"{d}/events.parquet")))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @q("SELECT event_id, user_id, event_type, ts FROM events")
 def dedup_within_watermark(s: SparkSession, d: str) -> DataFrame:
-    out = W.run_available(W.deduplicated_of(W.read_events(s, f"{d}/events.parquet")))
+    """Every second event comes twice; each is passed on once."""
+    e = W.read_events(s, f"{d}/events.parquet")
+    out = W.run_available(W.deduplicated_of(e.union(e.where("event_id % 2 = 1"))))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -155,7 +155,12 @@ def trigram_similarity_topk(s: SparkSession, d: str) -> DataFrame:
     return T.laws(s, d, "title").select("id", sim.alias("x")).where("x >= 0.3").select("id", F.round("x", 6).alias("similarity"))
 
 
-@q()
+_TRI1 = lambda w: f"list_distinct(list_transform(range(1, length({w}) + 2), lambda i: substring('  ' || {w} || ' ', i, 3)))"
+_WS = lambda c, t: f"coalesce(list_max(list_transform({words(c)}, lambda w: len(list_intersect({_TRI1('w')}, {_TRI1(t)})) * 1.0 / len(list_distinct(list_concat({_TRI1('w')}, {_TRI1(t)}))))), 0)"
+_BOTH = "round(least(" + _WS("title", "'pensions'") + ", " + _WS("title", "'retraite'") + "), 6)"
+
+
+@q(f"SELECT id, title, {_BOTH} AS similarity FROM {L} WHERE {_BOTH} >= 0.5")
 def title_word_similarity(s: SparkSession, d: str) -> DataFrame:
     x = T.laws(s, d, "title")
     both = F.least(text.word_similarity(F.lit("pensions"), F.col("title")), text.word_similarity(F.lit("retraite"), F.col("title")))

@@ -27,6 +27,20 @@ def read_events(s: SparkSession, path: str) -> DataFrame:
     return s.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+CLOSE = "__close__"
+
+
+def read_closed(s: SparkSession, path: str) -> DataFrame:
+    """The events, and one row far behind the last of them that moves the watermark past every open window: what a stream that goes on would
+    do in time. Its own window stays open, so an aggregate in append mode never shows it."""
+    e = read_events(s, path)
+    last = s.read.parquet(path).agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    folder = f"{shared_dir(s)}/close-{uuid.uuid4().hex}"
+    end = s.range(1).select(*[((F.lit(last) if last else F.current_timestamp()) + F.expr("interval 400 days")).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(CLOSE).alias("event_type") if f.name == "event_type" else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema.fields])
+    end.write.parquet(folder)
+    return e.union(s.readStream.schema(e.schema).parquet(folder).select(*e.columns))
+
+
 def tumbling_of(e: DataFrame) -> DataFrame:
     w = F.window("ts", "1 hour")
     return e.withWatermark("ts", LATE).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -54,15 +68,13 @@ def enriched_of(e: DataFrame, static: DataFrame) -> DataFrame:
     return e.join(static, "user_id", "left").select("event_id", "event_type", "segment")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is available into a Parquet table in the shared folder and returns that table."""
+def run_available(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that is available, in append mode, into a Parquet table in the shared folder and returns that table. Windows
+    are written once, when the watermark has passed them, and their state is dropped; rows later than that are refused."""
     s = stream.sparkSession
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    if mode == "complete":  # the last state of an aggregate
-        stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
-    else:
-        stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").start().awaitTermination()
-    return s.read.parquet(f"{base}/out")
+    stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def replay_limiter(e: DataFrame, limit: int = 5, seconds: int = 3600) -> DataFrame:
