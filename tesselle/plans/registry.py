@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesselle.plans import analytics, answers, corpus, documents, indexed, more, relational, retrieval, status, texts
+from tesselle.plans import analytics, answers, corpus, documents, indexed, more, relational, retrieval, status, surface, texts
 
-MODULES = [analytics, relational, retrieval, documents, more, texts, indexed, status, answers, corpus]
+MODULES = [analytics, relational, retrieval, documents, more, texts, indexed, status, answers, corpus, surface]
 
 
 def queries() -> dict:
