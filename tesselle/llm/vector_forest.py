@@ -9,7 +9,7 @@ its least certain signs turned are looked up as well.
 
 A tree is cut into slices at prefixes: a slice is the largest subtree of at most ``SLICE_ROWS`` strings, so the strings that share
 a prefix with a query lie in its slice; the ascent ends at a slice's root. Only (slice, string, id, sketch) is shuffled, the sketch
-being 256 further signs. Within a slice a query finds its prefix by binary search, looks at least at its even share of the budget (``WINDOW``
+being 192 further signs. Within a slice a query finds its prefix by binary search, looks at least at its even share of the budget (``WINDOW``
 strings at most), and passes on those whose sketch is near enough to its own: for a threshold on the cosine, ``DEVIATIONS`` standard deviations
 beyond the distance expected at it; without one, the nearest ``PASS`` of random pairs (30 k / n in a small table) as measured on a bounded sample (``SAMPLE``
 vectors). Vectors are fetched for these pairs only, and cosines computed in double precision.
@@ -42,12 +42,12 @@ from tesselle.llm.bounds import broadcast_if_small
 from tesselle.session import cut
 
 DIM = 64
-TREES = 8  # enough for neighbours of a cosine of 0.9 and more
+TREES = 12  # enough for neighbours of a cosine of 0.9 and more
 WIDE_TREES = 32  # for neighbours however far
 PROBES = 8
 BITS = 63
 TOP = 16
-WORDS = 4  # of 64 signs in a sketch
+WORDS = 3  # of 64 signs in a sketch
 DEVIATIONS = 3.0
 BUDGET = 26.0
 WINDOW = 512
