@@ -9,7 +9,7 @@ its least certain signs turned are looked up as well.
 
 A tree is cut into slices at prefixes: a slice is the largest subtree of at most ``SLICE_ROWS`` strings, so the strings that share
 a prefix with a query lie in its slice; the ascent ends at a slice's root. Only (slice, string, id, sketch) is shuffled, the sketch
-being 192 further signs. Within a slice a query finds its prefix by binary search, looks at least at its even share of the budget (``WINDOW``
+being 192 or 256 further signs. Within a slice a query finds its prefix by binary search, looks at least at its even share of the budget (``WINDOW``
 strings at most), and passes on those whose sketch is near enough to its own: for a threshold on the cosine, ``DEVIATIONS`` standard deviations
 beyond the distance expected at it; without one, the nearest ``PASS`` of random pairs (30 k / n in a small table) as measured on a bounded sample (``SAMPLE``
 vectors). Vectors are fetched for these pairs only, and cosines computed in double precision.
@@ -47,7 +47,8 @@ WIDE_TREES = 32  # for neighbours however far
 PROBES = 8
 BITS = 63
 TOP = 16
-WORDS = 3  # of 64 signs in a sketch
+WORDS = 3  # of 64 signs, in a sketch where a threshold on the cosine is given
+WIDE_WORDS = 4
 DEVIATIONS = 3.0
 BUDGET = 26.0
 WINDOW = 512
@@ -280,12 +281,12 @@ def _cosines(dim: int):
     return run
 
 
-def _sketch_limit(reps: DataFrame, n: int, k: int, dim: int, least: float) -> tuple[int, int]:
+def _sketch_limit(reps: DataFrame, n: int, k: int, dim: int, words: int, least: float) -> tuple[int, int]:
     """How far apart the sketches of a candidate may be, and of a member of a dense group."""
 
     def beyond(cosine: float, deviations: float) -> int:
         p = math.acos(cosine) / math.pi
-        return math.floor(64 * WORDS * p + deviations * math.sqrt(64 * WORDS * p * (1 - p)))
+        return math.floor(64 * words * p + deviations * math.sqrt(64 * words * p * (1 - p)))
 
     if least > 0:
         limit = beyond(min(least, 1.0), DEVIATIONS)
@@ -293,12 +294,12 @@ def _sketch_limit(reps: DataFrame, n: int, k: int, dim: int, least: float) -> tu
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     rows = reps.select("embedding").where(h <= int((1 << 30) * min(1.0, 2 * SAMPLE / max(1, n)))).limit(SAMPLE).collect()
     if len(rows) < 2:
-        return 64 * WORDS, beyond(DENSE, 0)
-    forest = Forest(dim, 0, WORDS)
+        return 64 * words, beyond(DENSE, 0)
+    forest = Forest(dim, 0, words)
     x = np.array([r["embedding"] for r in rows], np.float32)
     s = forest.sketches(x / np.abs(x).max(axis=1, keepdims=True)).view(np.uint64)
     a, b = s[: len(s) // 2], s[len(s) // 2 :]
-    apart = sum(np.bitwise_count(a[:512, None, c] ^ b[None, :, c]).astype(int) for c in range(WORDS))
+    apart = sum(np.bitwise_count(a[:512, None, c] ^ b[None, :, c]).astype(int) for c in range(words))
     return max(int(np.quantile(apart, min(1.0, max(PASS, 30 * k / n)))), beyond(DENSE, 1.5)), beyond(DENSE, 0)
 
 
@@ -379,10 +380,11 @@ def candidates(reps: DataFrame, k: int, dim: int, trees: int, probes: int, least
     spark = reps.sparkSession
     counts = prefix_counts(reps, dim, trees)
     n = int(counts[0].sum())
-    limit, dense_at = _sketch_limit(reps, n, k, dim, least)
+    words = WORDS if least > 0 else WIDE_WORDS
+    limit, dense_at = _sketch_limit(reps, n, k, dim, words, least)
     budget = math.ceil(BUDGET * math.sqrt(n))
     window = max(LEAST_WINDOW, min(WINDOW, budget // (trees * probes)))
-    rows = reps.select("id", "embedding", "asked").mapInArrow(_rows(dim, trees, probes, WORDS, budget, spark.sparkContext.broadcast(counts)), _row(WORDS))
+    rows = reps.select("id", "embedding", "asked").mapInArrow(_rows(dim, trees, probes, words, budget, spark.sparkContext.broadcast(counts)), _row(words))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * trees // (4 * SLICE_ROWS)))
     return rows.repartition(parts, "slice").sortWithinPartitions("slice", "key", "meta").mapInArrow(_search(limit, dense_at, budget, window), "a bigint, b bigint")
 
