@@ -7,6 +7,7 @@ sizes and times) and found again within the session.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def bucket_of(term: str) -> int:
+    """The same for a term the driver holds: the hash is that of the SQL function, with its seed."""
+    h = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+
 def _field(rows: DataFrame, column: str, weight: str) -> DataFrame:
     return rows.select("kind", "id", "law_id", F.explode(text.words(F.col(column))).alias("term"), F.lit(weight).alias("field"))
 
@@ -44,10 +51,15 @@ def postings(laws: DataFrame, articles: DataFrame, documents: DataFrame) -> Data
     return rows.groupBy("kind", "id", "law_id", "term").agg(F.sum(weight).alias("weight"), F.count("*").alias("hits"), F.max(F.col("field") == "A").alias("in_title"))
 
 
-def state(s: SparkSession, d: str) -> int:
-    """A number that changes with the files of the tables."""
-    m = [table(s, d, t).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").alias("t")).distinct() for t in ("laws", "articles", "documents")]
-    return m[0].union(m[1]).union(m[2]).agg(F.sum(F.pmod(F.xxhash64("p", "n", "t"), F.lit(1 << 40)))).first()[0] or 0
+def state(s: SparkSession, d: str) -> tuple:
+    """What changes with the files of the tables: their number, size and time; a few calls to the file system, no scan."""
+    out = []
+    for t in ("laws", "articles", "documents"):
+        at = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
+        fs = at.getFileSystem(s._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(at)
+        out.append((size.getFileCount(), size.getLength(), fs.getFileStatus(at).getModificationTime()))
+    return tuple(out)
 
 
 def write(post: DataFrame, path: str) -> None:
@@ -66,8 +78,7 @@ def index(s: SparkSession, d: str) -> DataFrame:
 
 def of_terms(ix: DataFrame, kind: str, terms: list[str]) -> DataFrame:
     """The postings of the terms; only their buckets are read."""
-    s = ix.sparkSession
-    buckets = sorted({r["b"] for r in s.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t")).alias("b")).collect()})
+    buckets = sorted({bucket_of(t) for t in terms})
     return ix.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms) & (F.col("kind") == kind))
 
 
