@@ -5,8 +5,9 @@ text), by_articles, section (prefix or null), pieces (array of struct<piece, art
 except (array of struct<piece, mark>). A designation is a number (``12``, ``1er``), a piece (``55.2``: that piece alone) or a range (``34 à 101``).
 chunks: article_id, law_id, number, section, content.
 
-Designations are unfolded to one row a number, so links and chunks meet by equi-joins on (text, number); only a link on the whole text meets all
-chunks of its text, which is its result.
+Links of one text that name the same articles, section, pieces and exceptions form a class: what a class touches is decided once, whatever the
+number of its links, and the classes' members are put in last. Designations are unfolded to one row a number, so classes and chunks meet by
+equi-joins on (text, number); only a class on the whole text meets all chunks of its text, which is its result.
 """
 
 from __future__ import annotations
@@ -15,12 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselle.functions.legal import is_pseudo_number
+from tesselle.session import broadcast_if_small, cut
 
 ENDS = ["repeals", "replaces"]
 # Natures from the strongest state to the weakest.
 STRENGTH = ["repeals", "replaces", "amends", "completes", "cites"]
 RANGE = r"^[ ]*([0-9]+)[ ]*(?:à|a|to|-)[ ]*([0-9]+)[ ]*$"
 WIDEST = 400
+# Classes and members beyond so many rows are joined by shuffle, the chunks of a class spread over SALTS tasks.
+BROADCAST_ROWS = 300_000
+SALTS = 32
+CLASS = ["class", "variant"]
 
 
 def base_number(c: Column) -> Column:
@@ -50,20 +56,63 @@ def designates(designations: Column, number: Column) -> Column:
     return (F.size(designations) == 0) | F.coalesce(F.array_contains(designations, F.trim(number)), F.lit(False)) | F.coalesce(F.array_contains(keys(designations), base_number(number)), F.lit(False))
 
 
-def touches(links: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(link_id, article_id, stored_as): the chunks every link touches; stored_as is the article a chunk holds under another number."""
-    c = chunks.select("article_id", F.col("law_id").alias("text_id"), "number", base_number(F.col("number")).alias("base"), normal(F.col("section")).alias("sec"), normal(F.col("content")).alias("body"))
-    x = links.select("link_id", "text_id", "articles", keys(F.col("articles")).alias("keys"), normal(F.col("section")).alias("want"), F.coalesce("pieces", F.array().cast("array<struct<piece:string,article:string,mark:string>>")).alias("pieces"), F.coalesce("except", F.array().cast("array<struct<piece:string,mark:string>>")).alias("except"))
-    whole = x.where(F.size("articles") == 0).join(c, "text_id")
-    by_key = x.select("*", F.explode("keys").alias("k")).join(c.withColumnRenamed("text_id", "t"), (F.col("k") == F.col("base")) & (F.col("text_id") == F.col("t"))).drop("t", "k")
-    exact = x.select("*", F.explode("articles").alias("k")).join(c.withColumnRenamed("text_id", "t"), (F.col("k") == F.trim("number")) & (F.col("text_id") == F.col("t"))).drop("t", "k")
-    elsewhere = x.select("*", F.explode("pieces").alias("p")).join(c.withColumnRenamed("text_id", "t"), (F.col("p.piece") == F.trim("number")) & (F.col("text_id") == F.col("t"))).drop("t")
-    inside = F.startswith(F.col("sec"), F.col("want"))
-    spared = F.exists("except", lambda e: F.coalesce(base_number(e["piece"]) == F.col("base"), F.lit(False)) & F.contains(F.col("body"), normal(e["mark"])))
-    named = whole.unionByName(by_key).unionByName(exact).where(inside & ~spared).select("link_id", "article_id", F.lit(None).cast("string").alias("stored_as"))
-    stored = elsewhere.where(inside & F.contains(F.col("body"), normal(F.col("p.mark")))).select("link_id", "article_id", F.col("p.article").alias("stored_as"))
-    both = named.union(stored).groupBy("link_id", "article_id").agg(F.max(F.col("stored_as").isNull()).alias("n"), F.min("stored_as").alias("s"))
-    return both.select("link_id", "article_id", F.when(~F.col("n"), F.col("s")).alias("stored_as"))
+def classes(links: DataFrame, *carried: str) -> DataFrame:
+    """(class, variant, text_id, articles, want, pieces, except, members): links alike in what they name; a class is known by its least link and a hash,
+    members holds the different (link_id, *carried) of its links."""
+    pieces = F.coalesce("pieces", F.array().cast("array<struct<piece:string,article:string,mark:string>>"))
+    spared = F.coalesce("except", F.array().cast("array<struct<piece:string,mark:string>>"))
+    x = links.select(
+        "link_id", *carried, "text_id", "articles", normal(F.col("section")).alias("want"),
+        F.transform(pieces, lambda p: F.struct(p["piece"].alias("piece"), p["article"].alias("article"), normal(p["mark"]).alias("mark"))).alias("pieces"),
+        F.transform(spared, lambda e: F.struct(base_number(e["piece"]).alias("base"), normal(e["mark"]).alias("mark"))).alias("except"),
+    )
+    alike = ["text_id", "articles", "want", "pieces", "except"]
+    g = x.groupBy(*alike).agg(F.min("link_id").alias("class"), F.collect_set(F.struct("link_id", *carried)).alias("members"))
+    return cut(g.select("class", F.xxhash64(*alike).alias("variant"), *alike, "members"))
+
+
+def members(cls: DataFrame) -> DataFrame:
+    """(class, variant, link_id, ...): the links of each class."""
+    return cls.select(*CLASS, F.explode("members").alias("m")).select(*CLASS, "m.*")
+
+
+def _join_few(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """An equi-join whose result may be many times its inputs on one key: the small table is broadcast, or copied to SALTS tasks a key."""
+    small = broadcast_if_small(few, BROADCAST_ROWS)
+    if small is not few:
+        return many.join(small, on)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def expand(met: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``met`` (class, variant, article_id, ...) once for each row of ``of`` (class, variant, ...)."""
+    return _join_few(met, of, CLASS, "article_id")
+
+
+def met(cls: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(class, variant, article_id, stored_as): the chunks every class touches, each once, spread evenly over the tasks."""
+    number, base = F.trim("number"), base_number(F.col("number"))
+    c = chunks.select("article_id", F.col("law_id").alias("text_id"), number.alias("number"), base.alias("base"), normal(F.col("section")).alias("sec"), normal(F.col("content")).alias("body"))
+    c = c.select("*", F.explode(F.array_compact(F.array(F.lit("a"), F.concat(F.lit("b"), "base"), F.concat(F.lit("n"), "number")))).alias("key"))
+    tag = lambda t, k: F.transform(k, lambda n: F.concat(F.lit(t), n))
+    named = F.when(F.size("articles") == 0, F.array(F.lit("a"))).otherwise(F.concat(tag("b", keys(F.col("articles"))), tag("n", F.col("articles"))))
+    k = cls.select(*CLASS, "text_id", "want", "except", F.lit(None).cast("struct<piece:string,article:string,mark:string>").alias("p"), F.explode(F.array_distinct(named)).alias("key"))
+    p = cls.select(*CLASS, "text_id", "want", "except", F.explode("pieces").alias("p")).withColumn("key", F.concat(F.lit("n"), "p.piece"))
+    x = _join_few(c, k.unionByName(p).where("key is not null"), ["text_id", "key"], "article_id")
+    spared = F.exists("except", lambda e: F.coalesce(e["base"] == F.col("base"), F.lit(False)) & F.contains(F.col("body"), e["mark"]))
+    hit = F.when(F.col("p").isNull(), ~spared).otherwise(F.contains(F.col("body"), F.col("p.mark")))
+    x = x.where(F.startswith(F.col("sec"), F.col("want")) & hit).select(*CLASS, "article_id", F.col("p").isNull().alias("named"), F.col("p.article").alias("article"))
+    spark = chunks.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes here become many rows
+    x = x.repartition(tasks, *CLASS, "article_id").groupBy(*CLASS, "article_id").agg(F.max("named").alias("n"), F.min("article").alias("s"))
+    return x.select(*CLASS, "article_id", F.when(~F.col("n"), F.col("s")).alias("stored_as"))
+
+
+def touches(links: DataFrame, chunks: DataFrame, *carried: str) -> DataFrame:
+    """(link_id, article_id, stored_as, *carried): the chunks every link touches; stored_as is the article a chunk holds under another number."""
+    cls = classes(links, *carried)
+    return expand(met(cls, chunks), members(cls)).select("link_id", "article_id", "stored_as", *carried)
 
 
 def overtaken(links: DataFrame) -> DataFrame:
