@@ -115,6 +115,17 @@ def touches(links: DataFrame, chunks: DataFrame, *carried: str) -> DataFrame:
     return expand(met(cls, chunks), members(cls)).select("link_id", "article_id", "stored_as", *carried)
 
 
+def to_read(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(link_id, article_id): the chunks an exception or a stored piece of a link names, in its section."""
+    cls = classes(links)
+    c = chunks.select("article_id", F.col("law_id").alias("text_id"), F.trim("number").alias("number"), base_number(F.col("number")).alias("base"), normal(F.col("section")).alias("sec"), F.xxhash64(*chunks.columns).alias("row"))
+    c = c.select("text_id", "article_id", "sec", "row", F.explode(F.array_compact(F.array(F.concat(F.lit("b"), "base"), F.concat(F.lit("n"), "number")))).alias("key"))
+    key = F.concat(F.transform("except", lambda e: F.concat(F.lit("b"), e["base"])), F.transform("pieces", lambda p: F.concat(F.lit("n"), p["piece"])))
+    k = cls.select(*CLASS, "text_id", "want", F.explode(F.array_distinct(key)).alias("key")).where("key is not null")
+    x = _join_few(c, k, ["text_id", "key"], "article_id").where(F.startswith(F.col("sec"), F.col("want"))).select(*CLASS, "article_id", "row").distinct()
+    return expand(x, members(cls)).select("link_id", "article_id")
+
+
 def overtaken(links: DataFrame) -> DataFrame:
     """(link_id, by_link): for every link the last later one that ends all it touched (ties in day to the larger id)."""
     a = links.select("link_id", "text_id", "day", "section", "articles", keys(F.col("articles")).alias("k"))

@@ -88,10 +88,7 @@ def chunks_that_carry_a_change(s: SparkSession, d: str) -> DataFrame:
 @q(f"SELECT link_id, article_id FROM {_LC} WHERE {_IN} AND (x_piece = base OR p_piece = trim(number, ' '))")
 def chunks_to_read(s: SparkSession, d: str) -> DataFrame:
     """The chunks whose content decides whether a link touches them: an exception or a stored piece names them."""
-    x = _links(s, d).join(_chunks(s, d).withColumnRenamed("law_id", "text_id").withColumnRenamed("section", "own"), "text_id")
-    spared = F.exists(F.coalesce("except", F.array().cast("array<struct<piece:string,mark:string>>")), lambda e: F.coalesce(K.base_number(e["piece"]) == K.base_number(F.col("number")), F.lit(False)))
-    stored = F.exists(F.coalesce("pieces", F.array().cast("array<struct<piece:string,article:string,mark:string>>")), lambda p: F.coalesce(p["piece"] == F.trim("number"), F.lit(False)))
-    return x.where(F.startswith(K.normal(F.col("own")), K.normal(F.col("section"))) & (spared | stored)).select("link_id", "article_id")
+    return K.to_read(_links(s, d), _chunks(s, d))
 
 
 _COV = f"(SELECT a.link_id, b.link_id AS by_link, b.day AS d FROM (SELECT *, {_KEYS('articles')} AS k FROM {_LK}) a JOIN (SELECT *, {_KEYS('articles')} AS k FROM {_LK} WHERE nature IN ('repeals', 'replaces')) b ON a.text_id = b.text_id AND b.day > a.day AND (b.section IS NULL OR b.section IS NOT DISTINCT FROM a.section) AND (len(b.articles) = 0 OR len(a.articles) > 0 AND len(list_filter(a.k, lambda x: NOT list_contains(b.k, x))) = 0))"

@@ -29,3 +29,10 @@ def test_touches(spark):
     c = spark.createDataFrame([(i, 1, str(i), None, "sauf") for i in range(300)], CHUNK)
     assert K.met(K.classes(x), c).count() == 299  # and not 300 times that
     assert K.touches(x, c).count() == 300 * 299
+
+
+def test_to_read(many):
+    x, c = many
+    y = x.join(c.withColumnRenamed("law_id", "text_id").withColumnRenamed("section", "own"), "text_id").where(F.startswith(K.normal(F.col("own")), K.normal(F.col("section"))))
+    named = "coalesce(exists(except, e -> e.piece = base), false) or coalesce(exists(pieces, p -> p.piece = trim(number)), false)"
+    assert rows(K.to_read(x, c)) == rows(y.withColumn("base", K.base_number(F.col("number"))).where(named).select("link_id", "article_id"))
