@@ -149,6 +149,18 @@ def strongest(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by("nature", F.when(place > 0, place)).alias("state"))
 
 
+def lines(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(article_id, nature, by_id, first): every chunk a text touches in a nature once, with the least chunk it so touches."""
+    cls = classes(links, "by_id", "nature")
+    at = cut(met(cls, chunks))
+    m = members(cls).select(*CLASS, "by_id", "nature").distinct()
+    g = m.join(at.groupBy(*CLASS).agg(F.min("article_id").alias("first")), CLASS).groupBy("by_id", "nature").agg(F.min("first").alias("first"), F.count("*").alias("times"))
+    # A line of one class has each chunk once; only lines of several classes need repeats taken out.
+    x = cut(m.alias("m").join(g.alias("g"), F.col("m.by_id").eqNullSafe(F.col("g.by_id")) & F.col("m.nature").eqNullSafe(F.col("g.nature"))).select(*CLASS, "m.by_id", "m.nature", "first", "times"))
+    rows = lambda y: expand(at, y.drop("times")).select("article_id", "nature", "by_id", "first")
+    return rows(x.where("times = 1")).union(rows(x.where("times > 1")).distinct())
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """(law_id, other_id, link_id, way, nature, day): every link from the text it touches and from the text that touches."""
     cols = ["link_id", "nature", "day"]

@@ -163,9 +163,7 @@ def idle_links(s: SparkSession, d: str) -> DataFrame:
 @q(f"WITH t AS (SELECT DISTINCT by_id, nature, article_id FROM {_TOUCH}) SELECT article_id, line, CASE WHEN r = 1 THEN line ELSE nature || ' (see ' || first || ')' END AS shown FROM (SELECT article_id, nature, nature || ' by ' || by_id AS line, row_number() OVER (PARTITION BY nature, by_id ORDER BY article_id) AS r, min(article_id) OVER (PARTITION BY nature, by_id) AS first FROM t)")
 def lines_without_repeats(s: SparkSession, d: str) -> DataFrame:
     """A status line given in full where it first occurs and by reference after that."""
-    x = _links(s, d)
-    t = K.touches(x, _chunks(s, d)).join(x.select("link_id", "by_id", "nature"), "link_id").select("by_id", "nature", "article_id").distinct()
-    first = t.groupBy("nature", "by_id").agg(F.min("article_id").alias("first"))  # one row a line, no window over its occurrences
+    t = K.lines(_links(s, d), _chunks(s, d))
     line = F.concat_ws(" by ", "nature", F.col("by_id").cast("string"))
     shown = F.when(F.col("article_id") == F.col("first"), line).otherwise(F.concat(F.col("nature"), F.lit(" (see "), F.col("first").cast("string"), F.lit(")")))
-    return t.join(first, ["nature", "by_id"]).select("article_id", line.alias("line"), shown.alias("shown"))
+    return t.select("article_id", line.alias("line"), shown.alias("shown"))

@@ -36,3 +36,10 @@ def test_to_read(many):
     y = x.join(c.withColumnRenamed("law_id", "text_id").withColumnRenamed("section", "own"), "text_id").where(F.startswith(K.normal(F.col("own")), K.normal(F.col("section"))))
     named = "coalesce(exists(except, e -> e.piece = base), false) or coalesce(exists(pieces, p -> p.piece = trim(number)), false)"
     assert rows(K.to_read(x, c)) == rows(y.withColumn("base", K.base_number(F.col("number"))).where(named).select("link_id", "article_id"))
+
+
+def test_lines(many):
+    x, c = many
+    t = K.touches(x, c).join(x.select("link_id", "by_id", "nature"), "link_id").select("article_id", "nature", "by_id").distinct()
+    first = t.groupBy("nature", "by_id").agg(F.min("article_id").alias("first"))
+    assert rows(K.lines(x, c)) == rows(t.join(first, ["nature", "by_id"]).select("article_id", "nature", "by_id", "first"))
