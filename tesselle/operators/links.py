@@ -149,6 +149,17 @@ def strongest(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by("nature", F.when(place > 0, place)).alias("state"))
 
 
+def strongest_states(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(article_id, state): ``strongest`` of the ``current`` links of each chunk, from the last day of every nature in a class and not from every link."""
+    cls = classes(links, "nature", "day")
+    last = members(cls).groupBy(*CLASS, "nature").agg(F.max("day").alias("day"))
+    ends = F.max(F.when(F.col("nature").isin(ENDS), F.col("day"))).alias("end")
+    of = lambda n: F.col("nature") == n
+    g = expand(met(cls, chunks), last).groupBy("article_id").agg(ends, *(a for n in STRENGTH for a in (F.max(of(n)).alias(f"has_{n}"), F.max(F.when(of(n), F.col("day"))).alias(f"day_{n}"))))
+    holds = lambda n: F.col(f"has_{n}") & (F.col("end").isNull() | (F.col(f"day_{n}") >= F.col("end")))
+    return g.select("article_id", F.coalesce(*(F.when(holds(n), n) for n in STRENGTH)).alias("state"))
+
+
 def lines(links: DataFrame, chunks: DataFrame) -> DataFrame:
     """(article_id, nature, by_id, first): every chunk a text touches in a nature once, with the least chunk it so touches."""
     cls = classes(links, "by_id", "nature")

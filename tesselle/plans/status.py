@@ -113,8 +113,7 @@ _RANK = "list_position(['repeals', 'replaces', 'amends', 'completes', 'cites'],
 
 @q(f"WITH t AS MATERIALIZED (SELECT * FROM {_TOUCH}), e AS (SELECT article_id, max(day) AS d FROM t WHERE nature IN ('repeals', 'replaces') GROUP BY 1) SELECT t.article_id, arg_min(nature, {_RANK}) AS state FROM t LEFT JOIN e ON e.article_id = t.article_id WHERE e.d IS NULL OR t.day >= e.d GROUP BY 1")
 def strongest_state(s: SparkSession, d: str) -> DataFrame:
-    x = _links(s, d)
-    return K.strongest(K.current(K.touches(x, _chunks(s, d)), x), "article_id")
+    return K.strongest_states(_links(s, d), _chunks(s, d))
 
 
 _WAYS = f"(SELECT text_id AS law_id, by_id AS other_id, link_id, nature, day, 'changed by' AS way FROM {_LK} UNION ALL SELECT by_id, text_id, link_id, nature, day, 'changes' FROM {_LK} WHERE by_id <> text_id)"

@@ -43,3 +43,8 @@ def test_lines(many):
     t = K.touches(x, c).join(x.select("link_id", "by_id", "nature"), "link_id").select("article_id", "nature", "by_id").distinct()
     first = t.groupBy("nature", "by_id").agg(F.min("article_id").alias("first"))
     assert rows(K.lines(x, c)) == rows(t.join(first, ["nature", "by_id"]).select("article_id", "nature", "by_id", "first"))
+
+
+def test_strongest_states(many):
+    x, c = many
+    assert rows(K.strongest_states(x, c)) == rows(K.strongest(K.current(K.touches(x, c), x), "article_id"))
