@@ -172,6 +172,23 @@ def lines(links: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows(x.where("times = 1")).union(rows(x.where("times > 1")).distinct())
 
 
+def changes_of_chunks(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(article_id, change, first_day, links): the changes of a text that touch each chunk, numbered as in ``status``, and by how many links."""
+    cls = classes(links, "by_id", "text_id")
+    at = met(cls, chunks)
+    m = members(cls).groupBy(*CLASS, "text_id", "by_id").agg(F.count("*").alias("links"))
+    several = m.groupBy("text_id", "by_id").agg(F.count("*").alias("times"))
+    st = status(links).where("way = 'changed by'").select(F.col("law_id").alias("text_id"), F.col("other_id").alias("by_id"), "change", "first_day")
+    x = cut(m.join(several, ["text_id", "by_id"]).join(st, ["text_id", "by_id"]).select(*CLASS, "change", "first_day", "links", "times"))
+    # An article of one text under a change of one class has one row; the others are added up.
+    shared = chunks.groupBy("article_id").agg(F.count_distinct("law_id").alias("laws")).where("laws > 1").select("article_id", F.lit(True).alias("shared"))
+    at = cut(at.join(shared, "article_id", "left").select(*CLASS, "article_id", "shared"))
+    own, out = at.where("shared is null"), ["article_id", "change", "first_day", "links"]
+    alone = expand(own, x.where("times = 1")).select(*out)
+    added = expand(own, x.where("times > 1")).select(*out).union(expand(at.where("shared"), x).select(*out))
+    return alone.union(added.groupBy("article_id", "change").agg(F.max("first_day").alias("first_day"), F.sum("links").alias("links")))
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """(law_id, other_id, link_id, way, nature, day): every link from the text it touches and from the text that touches."""
     cols = ["link_id", "nature", "day"]

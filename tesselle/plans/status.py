@@ -136,10 +136,7 @@ def status_of_text(s: SparkSession, d: str) -> DataFrame:
 @q(f"WITH t AS MATERIALIZED (SELECT * FROM {_TOUCH}), st AS MATERIALIZED (SELECT * FROM {_STATUS} WHERE way = 'changed by') SELECT t.article_id, st.change, max(st.first_day) AS first_day, count(*) AS links FROM t JOIN {A} a ON a.id = t.article_id JOIN st ON st.law_id = a.law_id AND st.other_id = t.by_id GROUP BY 1, 2")
 def status_of_article(s: SparkSession, d: str) -> DataFrame:
     """The changes that concern each article, under the numbers they have in its text."""
-    x, c = _links(s, d), _chunks(s, d)
-    t = K.touches(x, c).join(x.select("link_id", F.col("by_id").alias("other_id"), F.col("text_id").alias("law_id")), "link_id")
-    st = K.status(x).where("way = 'changed by'")
-    return t.join(st, ["law_id", "other_id"]).groupBy("article_id", "change").agg(F.max("first_day").alias("first_day"), F.count("*").alias("links"))
+    return K.changes_of_chunks(_links(s, d), _chunks(s, d))
 
 
 @q(f"SELECT w.law_id, w.other_id, coalesce(l.title, 'text ' || w.other_id) AS label, coalesce(l.publication_date, w.day) AS dated, l.id IS NOT NULL AND l.status = 'published' AS held FROM (SELECT law_id, other_id, min(day) AS day FROM {_WAYS} GROUP BY 1, 2) w LEFT JOIN {L} l ON l.id = w.other_id")

@@ -48,3 +48,11 @@ def test_lines(many):
 def test_strongest_states(many):
     x, c = many
     assert rows(K.strongest_states(x, c)) == rows(K.strongest(K.current(K.touches(x, c), x), "article_id"))
+
+
+def test_changes_of_chunks(many):
+    x, c = many
+    t = K.touches(x, c).join(x.select("link_id", F.col("by_id").alias("other_id"), F.col("text_id").alias("law_id")), "link_id")
+    st = K.status(x).where("way = 'changed by'")
+    want = t.join(st, ["law_id", "other_id"]).groupBy("article_id", "change").agg(F.max("first_day").alias("first_day"), F.count("*").alias("links"))
+    assert rows(K.changes_of_chunks(x, c)) == rows(want)
