@@ -6,9 +6,12 @@ left alone. A chain is accepted for a word when the chain inverts it strictly (e
 decode without error) and the restored word reads better under the clean words' character model; otherwise the next
 ranked chain is tried until the classifier prefers "clean". The replacement sign U+FFFD marks a loss that cannot be restored.
 
-The classifier is fitted on a bounded sample of ``SAMPLE`` texts (those of the smallest hashes); it cleans its own
-sample in ``ROUNDS`` rounds, dropping texts it finds garbled. Every text of the corpus is then judged whole, in one pass
-without a shuffle; the model (classes x 2^12 weights and a 2^16 character table) are broadcast, their size is fixed.
+The classifier is fitted on all texts of the corpus, each once, and cleans them in ``ROUNDS`` rounds, dropping texts it finds
+garbled. A text is kept as its set of words beyond ASCII; a round counts, by a shuffle of words, how many sound texts hold
+each. Weights and character table are sums over the words, and only these sums (whole numbers, so their order doesn't matter) reach the driver.
+Every text is then judged whole, in one pass without a shuffle. Weights (classes x 2^12) and characters (2^16) that are broadcast have a fixed size.
+An attested word stays as it is: for the words that the weights alone would restore, the counts of both spellings are joined,
+and the pairs refused (64 bits of hash each) are broadcast as well; beyond ``REFUSED`` of them is an error, never a cut.
 
 Defined results for awkward input: null and empty texts are not garbled; repeated rows count once; an empty table gives an
 empty result; extra columns are ignored; ASCII words are never judged, so very long texts cost one scan.
@@ -17,18 +20,23 @@ empty result; extra columns are ignored; ASCII words are never judged, so very l
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tesselle.llm.sampling import sample_texts
+from tesselle.session import TooLarge, cut, cut_table
 
-SAMPLE = 6000
 ROUNDS = 3
+ATTESTED = 3
+REFUSED = 8_000_000
+HELD = 300_000
+SUMMERS = 64
 BUCKETS = 1 << 12
 MARGIN = 2.0
 TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
@@ -126,15 +134,21 @@ def _contexts(word: str) -> list[int]:
     return out
 
 
+def _pair(word: str, back: str) -> int:
+    """A hash of two bare words, as a signed number of 64 bits."""
+    h = xxhash.xxh64_intdigest(f"{word}\0{back}".encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Model:
-    """Multinomial weights by chain, a model of the characters around each other in clean words, and the number
-    of sample texts that hold each word beyond ASCII."""
+    """Multinomial weights by chain, a model of the characters around each other in clean words, and the attested words that are
+    left alone: from the number of texts that hold each word beyond ASCII, or as the sorted hashes of the refused pairs."""
 
-    def __init__(self, weights: np.ndarray, table: np.ndarray, known: dict[str, int]):
-        self.weights, self.table, self.known, self.cache = weights, table, known, {}
+    def __init__(self, weights: np.ndarray, table: np.ndarray, known: dict[str, int], refused: np.ndarray | None = None):
+        self.weights, self.table, self.known, self.refused, self.cache = weights, table, known, refused, {}
 
     def parts(self) -> tuple:
-        return self.weights, self.table, self.known
+        return self.weights, self.table, self.known, self.refused
 
     def reading(self, word: str) -> float:
         """Log-likelihood of a word's characters beyond ASCII in their surroundings."""
@@ -145,11 +159,18 @@ class Model:
         back = restore(word, chain)
         if back is None or back == word:
             return None
-        seen, there = self.known.get(_bare(word), 0), self.known.get(_bare(back), 0)
-        if seen > 2 and seen >= there:  # an attested word, and no better attested one behind it
+        if self.attested(_bare(word), _bare(back)):
             return None
         return back if self.reading(back) > self.reading(word) + MARGIN else None
 
+    def attested(self, word: str, back: str) -> bool:
+        """Whether sound texts hold the word, and no better attested one behind it."""
+        if self.refused is None:
+            seen = self.known.get(word, 0)
+            return seen >= ATTESTED and seen >= self.known.get(back, 0)
+        at = np.searchsorted(self.refused, key := _pair(word, back))
+        return bool(at < len(self.refused) and self.refused[at] == key)
+
     def judge(self, token: str) -> tuple[str, str | None]:
         """(chain, restored word); ("clean", None) for a sound word, ("lost", None) beyond restoring."""
         got = self.cache.get(token)
@@ -179,6 +200,30 @@ class Model:
         return "clean", None
 
 
+def _sound(token: str, model: Model | None) -> bool:
+    """Whether a text with the word may be learned from: by the model so far, else if no chain of UTF-8 can be undone."""
+    if model:
+        return model.judge(token)[0] == "clean"
+    return "�" not in token and all(restore(token, c) in (None, token) for c in NAMES[1:] if c.startswith("utf8"))
+
+
+def _sums(words: Iterable[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the features by chain, and of the slots of the character table, over words held by so many texts."""
+    counts, table = np.zeros((len(NAMES), BUCKETS), np.int64), np.zeros(1 << 16, np.int64)
+    for w, n in words:
+        for c, name in enumerate(NAMES):
+            bad = w if c == 0 else spoil(w, name)
+            if bad is not None and (c == 0 or bad != w):
+                np.add.at(counts[c], _features(bad), n)
+        np.add.at(table, _contexts(w), n)
+    return counts, table
+
+
+def _logs(counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts, table = counts + 0.05, table + 0.2
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(table / table.sum()).astype(np.float32)
+
+
 def fit(texts: list[str]) -> Model:
     """Trains on the words of sound texts; a text found garbled by the model so far is left out of the next round."""
     model = None
@@ -187,30 +232,99 @@ def fit(texts: list[str]) -> Model:
         known: Counter[str] = Counter()
         for t in texts:
             tokens = set(TOKEN.findall(t))
-            if model and any(model.judge(w)[0] != "clean" for w in tokens):
-                continue
-            if not model and ("�" in t or any(restore(w, c) not in (None, w) for w in tokens for c in NAMES[1:] if c.startswith("utf8"))):
-                continue
-            words.update(tokens)
-            known.update({_bare(w) for w in tokens})
-        counts = np.full((len(NAMES), BUCKETS), 0.05)
-        table = np.full(1 << 16, 0.2)
-        for w, n in words.items():
-            n = float(n)
-            for c, name in enumerate(NAMES):
-                bad = w if c == 0 else spoil(w, name)
-                if bad is not None and (c == 0 or bad != w):
-                    for f in _features(bad):
-                        counts[c, f] += n
-            np.add.at(table, _contexts(w), n)
-        weights = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-        model = Model(weights, np.log(table / table.sum()).astype(np.float32), dict(known))
+            if all(_sound(w, model) for w in tokens):
+                words.update(tokens)
+                known.update({_bare(w) for w in tokens})
+        model = Model(*_logs(*_sums(words.items())), dict(known))
     return model
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` texts, chosen by the hash of their content."""
-    return fit(sample_texts(documents.select("text"), sample))
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, words: the different words beyond ASCII of each text, with a blank between."""
+    for b in batches:
+        rows = [(h, " ".join(set(TOKEN.findall(t)))) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not t.isascii()]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["h", "words"])
+
+
+def _count(shared) -> Callable:
+    """bare, word, n: how many sound texts hold a word, and how many its bare form; 0 for words of no sound text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            both = [(x, *kv) for x, c in ((False, words), (True, known)) for kv in c.items()]
+            words.clear()
+            known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*both), (pa.bool_(), pa.string(), pa.int64()))], names=["bare", "word", "n"])
+
+        model = Model(*shared.value) if shared.value else None
+        words: Counter[str] = Counter()
+        known: Counter[str] = Counter()
+        seen: dict[str, tuple[bool, str]] = {}
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                tokens = line.split(" ")
+                for w in tokens:
+                    if w not in seen:
+                        seen[w] = _sound(w, model), _bare(w)
+                if all(seen[w][0] for w in tokens):
+                    words.update(tokens)
+                    known.update({seen[w][1] for w in tokens})
+                else:
+                    words.update(dict.fromkeys(tokens, 0))
+                if len(seen) > HELD:
+                    seen.clear()
+                if len(words) > HELD:
+                    yield flush()
+        if words:
+            yield flush()
+
+    return run
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """counts, characters: the sums over the words of a task."""
+    counts, table = _sums(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (counts, table)], names=["counts", "characters"])
+
+
+def _doubtful(shared) -> Callable:
+    """word, back, pair: bare spellings before and after every chain that could be undone in a word which the model, attested words aside, finds garbled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for b in batches:
+            rows = set()
+            for w in b.column(0).to_pylist():
+                if model.judge(w)[0] not in ("clean", "lost"):
+                    word = _bare(w)
+                    rows |= {(word, _bare(back), _pair(word, _bare(back))) for c in NAMES[1:] if (back := model.better(w, c)) is not None}
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["word", "back", "pair"])
+
+    return run
+
+
+def train(documents: DataFrame) -> Model:
+    """Fits on all different texts, as ``fit`` does on a list."""
+    sc = documents.sparkSession.sparkContext
+    texts = documents.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    bags = cut_table(texts.mapInArrow(_bags, "h bigint, words string").dropDuplicates(["h"]).select("words"))
+    none = np.zeros(0, np.int64)
+    model = None
+    for _ in range(ROUNDS):
+        counts = cut(bags.mapInArrow(_count(sc.broadcast(model and model.parts())), "bare boolean, word string, n bigint").groupBy("bare", "word").agg(F.sum("n").alias("n")))
+        words = counts.where("not bare").select("word", "n").repartition(min(SUMMERS, sc.defaultParallelism))
+        sums = words.where("n > 0").mapInArrow(_sum, "counts binary, characters binary").collect()
+        total = [sum((np.frombuffer(zlib.decompress(r[k]), np.int64) for r in sums), np.zeros(size, np.int64)) for k, size in ((0, len(NAMES) * BUCKETS), (1, 1 << 16))]
+        parts = *_logs(total[0].reshape(-1, BUCKETS), total[1]), {}
+        pairs = words.select("word").mapInArrow(_doubtful(sc.broadcast((*parts, none))), "word string, back string, pair bigint").distinct()
+        held = counts.where(f"bare and n >= {ATTESTED}").select("word", "n")
+        refused = pairs.join(held, "word").join(held.toDF("back", "there"), "back", "left").where("n >= coalesce(there, 0)").select("pair").distinct()
+        refused = cut(refused)
+        if refused.count() > REFUSED:
+            raise TooLarge(f"attested words that read as garbled: more than {REFUSED} pairs")
+        model = Model(*parts, np.sort(refused.toArrow().column(0).to_numpy()))
+    return model
 
 
 def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
